@@ -1,19 +1,20 @@
 """Problem 8: token ids of a whole corpus by a public byte-level BPE vocabulary.
 
-All of it is Spark expressions: a regular expression cuts a text into words, the distinct words of
-the text are encoded, and the ids are put back in the order of the words; no shuffle, no Python.
-A word that is a vocabulary entry is its id; any other starts as its single bytes and is folded: an
-``aggregate`` merges the adjacent pair with the lowest rank, the leftmost first, and looks up only
-the two ranks that a merge changes, until no pair has a rank. The ranks are a literal in the plan:
-maps from piece to rank, hashed into ``SLOTS`` of a few entries, as a lookup in a Spark map is
-linear. Pieces are written as hexadecimal text, two digits a byte.
-
-Scale: narrow and linear in the text, so skew of any key is irrelevant; the literal has the
-vocabulary's size (50k entries), whatever the corpus.
+All of it is Spark expressions. A regular expression cuts a text into words. A word that is a
+vocabulary entry is its id; the other words are made distinct over the corpus and each is folded
+once: its byte pieces start apart, an ``aggregate`` merges the adjacent pair with the lowest rank,
+the leftmost first, and looks up only the two ranks that a merge changes, until no pair has a rank.
+The ranks are a literal in the plan: maps from piece to rank, hashed into ``SLOTS`` of a few
+entries, as a lookup in a Spark map is linear. Pieces are written as hexadecimal text, two digits a
+byte.
+
+Scale: the cutting is narrow; what is shuffled is the codes (an int a word) and the words outside
+the vocabulary, which a map-side combined distinct shrinks to the corpus' own lexicon. The literal
+has the vocabulary's size (50k entries), whatever the corpus.
 
 Defined results: null and empty texts have no ids (an empty list); special tokens are ordinary
-text; every row of the input gives one row. Texts of more than ``DIRECT`` words skip the list of
-distinct words (a lookup in it is linear too) and encode word by word, with the same ids.
+text; every row of the input gives one row (``doc_id`` is unique). Texts of more than ``DIRECT``
+words are folded in place, word by word, with the same ids.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.session import scratch
+
 SLOTS = 1 << 14
 NO_RANK = 1 << 30
 DIRECT = 2000
@@ -109,7 +112,7 @@ class Bpe:
         """array<int> of one non-empty word."""
 
         def fold(h: Column) -> Column:
-            return _let(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)), folded)
+            return _let(F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substring(h, i, 2)), folded)
 
         def folded(pieces: Column) -> Column:
             ranks = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x, i: self._pair(x, F.get(pieces, i + 1)))
@@ -121,17 +124,32 @@ class Bpe:
 
         return _let(F.hex(F.encode(word, "UTF-8")), whole)
 
-    def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
-        """Adds the list of token ids of ``text``."""
-        # every step is bound to a lambda variable: as columns of their own, the optimizer would
-        # inline them into the lambdas that use them and compute them anew for each word
+    def words(self, text: Column) -> Column:
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+
+    def encode_inline(self, text: Column) -> Column:
+        """The ids of one text as a single expression, word by word: for few or short texts."""
+        return F.flatten(F.transform(self.words(text), self.encode_word))
 
+    def cut(self, text: Column) -> Column:
+        """struct<codes, missing>: per word its id, or -k for the k-th of the words to be folded."""
+
+        # steps are bound to lambda variables: as columns of their own, the optimizer would inline
+        # them into the lambdas that use them and compute them anew for each word
         def of(words: Column) -> Column:
-            looked_up = _let(F.array_distinct(words), lambda d: _let(F.map_from_arrays(d, F.transform(d, self.encode_word)), lambda m: F.transform(words, lambda x: F.try_element_at(m, x))))
-            return F.flatten(F.when(F.size(words) > DIRECT, F.transform(words, self.encode_word)).otherwise(looked_up))
+            none = F.array().cast("array<string>")
+            missing = F.filter(F.array_distinct(words), lambda w: self.word_rank(w).isNull())
+            return _let(F.when(F.size(words) <= DIRECT, missing).otherwise(none), lambda m: coded(words, m))
+
+        def coded(words: Column, missing: Column) -> Column:
+            short = F.transform(words, lambda w: F.coalesce(self.word_rank(w), -F.array_position(missing, w).cast("int")))
+            codes = F.when(F.size(words) <= DIRECT, short).otherwise(F.flatten(F.transform(words, self.encode_word)))
+            return F.struct(codes.alias("codes"), missing.alias("missing"))
+
+        return _let(self.words(text), of)
 
-        words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(self.pattern), F.lit(0))
-        return df.withColumn(ids, _let(words, of))
+    def word_rank(self, word: Column) -> Column:
+        return self.rank(F.hex(F.encode(word, "UTF-8")))
 
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: the pieces' bytes joined."""
@@ -141,4 +159,18 @@ class Bpe:
 
 def encode_documents(documents: DataFrame, bpe: Bpe | None = None) -> DataFrame:
     """(doc_id, ids), one row for every document."""
-    return (bpe or Bpe()).encode(documents.select("doc_id", "text")).select("doc_id", "ids")
+    bpe, spark = bpe or Bpe(), documents.sparkSession
+    side = scratch(spark, "words")
+    documents.select("doc_id", bpe.cut(F.col("text")).alias("c")).select("doc_id", "c.codes", "c.missing").write.parquet(side)
+    cut = spark.read.schema("doc_id bigint, codes array<int>, missing array<string>").parquet(side)
+    lexicon = scratch(spark, "lexicon")
+    # spread before the fold: the distinct's few, small partitions would leave most cores idle
+    distinct = cut.select(F.explode("missing").alias("word")).distinct().repartition(spark.sparkContext.defaultParallelism * 2, "word")
+    distinct.select("word", bpe.encode_word(F.col("word")).alias("w_ids")).write.parquet(lexicon)
+    folded = spark.read.schema("word string, w_ids array<int>").parquet(lexicon)
+    each = cut.select("doc_id", F.posexplode("missing").alias("k", "word")).join(folded, "word")
+    lists = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "w_ids"))).alias("m"))
+    whole = cut.filter(F.size("missing") == 0).select("doc_id", F.col("codes").alias("ids"))
+    parts = cut.filter(F.size("missing") > 0).select("doc_id", "codes").join(lists, "doc_id")
+    spelled = F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get("m", -c - 1)["w_ids"])))
+    return whole.unionByName(parts.select("doc_id", spelled.alias("ids")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annolake.llm import group_split, history_dedup, split_overlap
+from annolake.llm import bpe, group_split, history_dedup, split_overlap
 from annolake.session import table
 
 
@@ -44,5 +44,16 @@ def p5_totals(spark, d):
     return group_split.assign(_linked(spark, d)[0]).groupBy("split").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("root").alias("n_groups"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p5_found, p5_split, p5_totals)}
+def p8_ids(spark, d):
+    return bpe.encode_documents(table(spark, d, "documents"))
+
+
+def p8_roundtrip(spark, d):
+    """Documents whose text does not come back from its ids: none."""
+    docs, codec = table(spark, d, "documents"), bpe.Bpe()
+    back = bpe.encode_documents(docs, codec).select("doc_id", codec.decode(F.col("ids")).alias("back"))
+    return docs.select("doc_id", "text").join(back, "doc_id").filter(F.coalesce("text", F.lit("")) != F.col("back")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p5_found, p5_split, p5_totals, p8_ids, p8_roundtrip)}
 SQL: dict[str, str] = {}
