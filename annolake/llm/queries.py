@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annolake.llm import bpe, group_split, history_dedup, split_overlap
+from annolake.llm import bpe, group_split, history_dedup, passages, split_overlap
 from annolake.session import table
 
 
@@ -55,5 +55,14 @@ def p8_roundtrip(spark, d):
     return docs.select("doc_id", "text").join(back, "doc_id").filter(F.coalesce("text", F.lit("")) != F.col("back")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p5_found, p5_split, p5_totals, p8_ids, p8_roundtrip)}
+def p9_found(spark, d):
+    return passages.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_near(spark, d):
+    """Passages of 20 words with up to two words changed, missing or extra."""
+    return passages.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), words=20, edits=2)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p5_found, p5_split, p5_totals, p8_ids, p8_roundtrip, p9_found, p9_near)}
 SQL: dict[str, str] = {}
