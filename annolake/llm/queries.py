@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annolake.llm import bpe, group_split, history_dedup, passages, split_overlap
+from annolake.llm import bpe, group_split, history_dedup, passages, pii, split_overlap
 from annolake.session import table
 
 
@@ -64,5 +64,14 @@ def p9_near(spark, d):
     return passages.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), words=20, edits=2)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p5_found, p5_split, p5_totals, p8_ids, p8_roundtrip, p9_found, p9_near)}
+def p10_found(spark, d):
+    return pii.find(table(spark, d, "documents"))[0].select("doc_id", "pii_kind", "start_pos")
+
+
+def p10_redacted(spark, d):
+    docs = table(spark, d, "documents")
+    return pii.redact(docs, pii.find(docs)[1])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p5_found, p5_split, p5_totals, p8_ids, p8_roundtrip, p9_found, p9_near, p10_found, p10_redacted)}
 SQL: dict[str, str] = {}
