@@ -49,6 +49,12 @@ STREET_EN = "Street St Road Rd Avenue Ave Lane Ln Close Terrace Drive Dr Row Cou
 HAN_SURNAMES = "顾柯阮霍虞岑聂裴王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董潘袁蔡蒋余于杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺毛郝龚邵万钱严覃武戴莫孔向汤"
 HAN_GIVEN = "砚霁黎岚昀澈姝汐翊筠曜珩伟芳娜敏静丽强磊军洋勇艳杰娟涛明超霞平刚英华玉萍红鹏辉"
 HAN_STREETS = "临汐 旧港 槐荫 青砚 北窑".split()
+ORDINARY = (
+    "shard yard standard wizard hazard board keyboard card guard ward hard regard forward toward record reason season person lesson version session mission field shield wood "
+    "land island england holland thousand ground wick berg hand cart sand stand mere ford afford effort hotel pedal sandal medal scandal hello cello yellow ring ley barley "
+    "valley trolley parsley turkey honey money journey kidney pulley alley bury sund sender gender"
+).split()
+NO_GIVEN = "As Ask A An The For From To And By With Für Anleitung Händen Gruß Según Call Ring Tag Keep Label Use Blur Ship See Set Prüfer Reviewer Revisora".split()
 SITES = (
     "kiln yard hall three weighbridge lane crane lot dry dock south bay north quay mill gate pit road tank farm rail spur cold store glass shed silo east depot nine clay "
     "ferry ramp brickworks pallet scout edge snap"
@@ -57,8 +63,9 @@ SITES = (
 _G = "|".join(sorted(map(re.escape, GIVEN), key=len, reverse=True))
 _END = "|".join(FAMILY_ENDS)
 _L = "A-Za-zÀ-ÖØ-öø-ÿĀ-ž"
-_W = rf"(?:(?:O'|Mc|Mac|D'|De )?[{_L}][{_L}]+(?:-[{_L}]{{2,}})?)"
+_W = rf"(?:(?:[Oo]'|[Mm]c|Mac|[Dd]'|De )?[{_L}][{_L}]+(?:-[{_L}]{{2,}})?)"
 _B, _A = rf"(?<![{_L}0-9_@.+%/\-])", rf"(?![{_L}0-9_@])"  # no word, address or path goes on before; none after
+_N = rf"(?<![{_L}0-9_.+%/\-])(?<![{_L}0-9_.]@)"  # a mention's @ may stand before a name, an address' may not
 _SHAPE = re.compile(rf"(?:O'|Mc|Mac|D'|De )?[{_L}]{{0,14}}?(?:{_END})", re.I)
 
 EMAIL = re.compile(
@@ -75,12 +82,15 @@ IDNUM = re.compile(
 )
 ADDRESS = re.compile(
     rf"(?<![\w./\-])\d{{1,5}}[A-Za-z]? (?:[A-ZÀ-Þ][{_L}']+ ){{1,3}}?(?i:{'|'.join(STREET_EN)})\b\.?"
-    rf"|{_B}(?:[A-ZÀ-Þ][{_L}]+[ -])?[A-ZÀ-Þ][{_L}]*(?i:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)(?<!^) ?\d{{1,4}} ?[a-zA-Z]?(?![\w])"
+    rf"|{_B}[A-ZÀ-Þ][{_L}]*(?i:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)(?<!^) ?\d{{1,4}} ?[a-zA-Z]?(?![\w])"
     rf"|{_B}(?i:Calle|C/|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Camino|Ronda) ?(?:(?i:de|del|la|los|las|el) ){{0,2}}[A-ZÀ-Þ][{_L}]+(?: (?:(?i:de|del|la|los|las|el) ){{0,2}}[A-ZÀ-Þ][{_L}]+){{0,2}},? ?(?i:n\.?º? ?)?\d{{1,4}}[a-zA-Z]?(?![\w])"
     r"|[一-鿿]{1,6}?(?:路|街|巷|道|弄|大道) ?\d{1,5} ?号"
 )
-NAME = re.compile(
-    rf"{_B}(?:(?i:{_G})(?: [A-Za-z]\.)? {_W}|{_W}, ?(?:(?i:{_G})(?: [A-Z]\.)?|[A-Z]\.)(?![{_L}])|[A-Za-z]\. ?(?:[A-Za-z]\. ?)?{_W}|[A-ZÀ-Þ][{_L}]+ (?:[A-Z]\. )?(?:O'|Mc|Mac)?[A-ZÀ-Þ][{_L}]+){_A}"
+NAMES = (  # each form is searched for on its own; where forms overlap, the classifier chooses
+    re.compile(rf"{_N}(?i:{_G})(?: [A-Za-z]\.)? {_W}{_A}"),
+    re.compile(rf"{_N}{_W}, ?(?:(?i:{_G})(?: [A-Z]\.)?(?![{_L}])|[A-Z]\.){_A}"),
+    re.compile(rf"{_N}[A-Za-z]\. ?(?:[A-Za-z]\. ?)?{_W}{_A}"),
+    re.compile(rf"{_N}(?!(?:{'|'.join(NO_GIVEN)})\b)[A-ZÀ-Þ][{_L}]+ (?:[A-Z]\. )?(?:O'|Mc|Mac)?[A-ZÀ-Þ][{_L}]+{_A}"),
 )
 HAN_NAME = re.compile(rf"[{HAN_SURNAMES}][一-鿿]{{1,2}}")
 
@@ -98,7 +108,7 @@ _AFTER = {
 }
 _NOT = {
     "email": re.compile(r"(?:Tag|branch is|mAP|fix/\S*)\s*$"),
-    "number": re.compile(r"(?:serial|ticket|\bjob|\brun|box(?:es)?|box ids(?: \d+ to)?|unix time|pixel counts|firmware|exposure|shard|row|column|seed|frame|version|quality|threshold|sensor|decimals, so|moved on|before|after|on)\W{0,3}$", re.I),
+    "number": re.compile(r"\b(?:serial|ticket|job|run|box(?:es)?|box ids(?: \d+ to)?|unix time|pixel counts|firmware|exposure|shard|row|column|seed|frame|version|quality|threshold|sensor)\W{0,3}$", re.I),
     "name": re.compile(r"(?:between|behind|from|through|at|the|in|near|of) ?$", re.I),
 }
 _IDWORD = re.compile(r"(?:ID|SSN|DNI|passport|insurance|tax|身份证|证)[^\n]{0,14}$", re.I)
@@ -107,6 +117,15 @@ _DATE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}")
 _TLD = re.compile(r"(?:com|org|net|edu|gov|io|de|es|cn|eu|info|example|test|invalid|local)$", re.I)
 
 
+def _name_parts(s: str) -> tuple[str, str]:
+    """(given name or initial, family name) of a name in either order."""
+    if "," in s:
+        family, _, first = s.partition(",")
+        return first.strip().split(" ")[0], family
+    first, _, rest = s.partition(" ") if " " in s else s.partition(".")
+    return first, re.sub(r"^(?:[A-Za-z]\. ?)+", "", rest)
+
+
 def _phone_forms(d: str, s: str) -> int:
     """+1 for a known numbering, -1 for an impossible one."""
     n = len(d)
@@ -143,12 +162,9 @@ def _votes(kind: str, t: str, a: int, b: int) -> tuple[int, ...]:
     if "一" <= s[0] <= "鿿":
         gaz = 1 if all(c in HAN_GIVEN for c in s[1:]) else -1
         return (gaz, 1 if s[0] in HAN_SURNAMES[:8] else 0, 1 if re.search(r"(?:找|联系|负责人 ?|复核人[：:]|，|,|。|^|\n|- )$", before) else 0, 1 if re.match(r"认为|收|，|。|（|\(|,|\s|$", after) else -1, 0, 0)
-    parts = re.split(r",? ", s)
-    inverted = "," in s
-    family = parts[0] if inverted else parts[-1].split(". ")[-1].split(".")[-1] or parts[-1]
-    first = parts[1] if inverted and len(parts) > 1 else parts[0]
+    first, family = _name_parts(s)
     given = 1 if re.fullmatch(_G, first, re.I) else 0 if re.match(r"[A-Za-z]\.", first) else -1
-    shape = 1 if _SHAPE.fullmatch(family) else -1
+    shape = 1 if _SHAPE.fullmatch(family) and family.lower() not in ORDINARY else -1
     site = -1 if any(w in SITES for w in words if len(w) > 2) else 0
     return (given, shape, ctx, follow, -1 if _NOT["name"].search(before) else 0, site)
 
@@ -165,17 +181,22 @@ def _features(kind: str, votes: tuple[int, ...], t: str, a: int, b: int) -> list
 def candidates(t: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
     """(kind, start, end, votes) of a readable text."""
     out = []
-    for k, rx in ((0, EMAIL), (1, PHONE), (2, IDNUM), (3, ADDRESS), (4, NAME), (4, HAN_NAME)):
+    for k, rx in ((0, EMAIL), (1, PHONE), (2, IDNUM), (3, ADDRESS), *((4, x) for x in NAMES), (4, HAN_NAME)):
         if k == 0 and not ("@" in t or re.search(r"\bat\b", t, re.I)):
             continue
         p = 0
         while m := rx.search(t, p):
             a, b = m.span()
             p = b
-            if rx is NAME and not (m.group()[:1].isupper() and " " in m.group() and not re.match(_G, m.group(), re.I)):
-                p = b
-            elif rx is NAME:
-                p = a + max(1, len(re.match(r"\S+", m.group()).group()))  # an unsure first word must not swallow the next
+            if rx in NAMES:
+                first, family = _name_parts(m.group())
+                known, shaped = re.fullmatch(_G, first, re.I), _SHAPE.fullmatch(family)
+                if not shaped:
+                    p = a + len(re.match(r"\S+", m.group()).group())
+                if "," in m.group() and not shaped or first[1:] == "." and first.islower() != family[:1].islower():
+                    continue
+                if rx is NAMES[3] and (known or not (_BEFORE["name"].search(t[max(0, a - 40) : a]) or _AFTER["name"].search(t[b : b + 16]))):
+                    continue
             if rx is ADDRESS and "一" <= t[a] <= "鿿":
                 body = re.match(r"([一-鿿]+?)(?=(?:路|街|巷|道|弄|大道) ?\d)", t[a:b])
                 head = body.group(1) if body else ""
@@ -189,6 +210,9 @@ def candidates(t: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
             if rx is EMAIL:
                 while b > a and t[b - 1] in ".-":
                     b -= 1
+            # by definition no numbers of these kinds: those of serials, tickets, jobs, runs, boxes
+            if k in (1, 2) and _NOT["number"].search(t[max(0, a - 40) : a].rpartition("\n")[2]):
+                continue
             out.append((k, a, b, _votes(KINDS[k], t, a, b)))
     return out
 
@@ -251,15 +275,15 @@ class Model:
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
 
-    def score(self, feats: list[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[feats].sum(), -30, 30))))
+    def logit(self, feats: list[int]) -> float:
+        return float(self.weights[feats].sum())
 
     def decide(self, cands: list[dict]) -> list[tuple[int, int, int]]:
         """(kind, start, end) of the accepted spans without overlap, the likelier first, then the longer."""
-        scored = sorted(((self.score(c["feats"]), c["b"] - c["a"], -c["a"], c) for c in cands), key=lambda x: x[:3], reverse=True)
+        scored = sorted(((min(self.logit(c["feats"]), 3.0), c["b"] - c["a"], -c["a"], c) for c in cands), key=lambda x: x[:3], reverse=True)
         taken: list[tuple[int, int, int]] = []
         for p, _, _, c in scored:
-            if p > 0.5 and all(c["b"] <= a or b <= c["a"] for _, a, b in taken):
+            if p > 0 and all(c["b"] <= a or b <= c["a"] for _, a, b in taken):
                 taken.append((c["kind"], c["a"], c["b"]))
         return sorted(taken, key=lambda x: x[1])
 
