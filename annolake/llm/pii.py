@@ -279,10 +279,12 @@ class Model:
         return float(self.weights[feats].sum())
 
     def decide(self, cands: list[dict]) -> list[tuple[int, int, int]]:
-        """(kind, start, end) of the accepted spans without overlap, the likelier first, then the longer."""
-        scored = sorted(((min(self.logit(c["feats"]), 3.0), c["b"] - c["a"], -c["a"], c) for c in cands), key=lambda x: x[:3], reverse=True)
+        """(kind, start, end) of the accepted spans without overlap: the clearly likely before the
+        doubtful, then the longer, then the likelier."""
+        logits = [(self.logit(c["feats"]), c) for c in cands]
+        scored = sorted(((min(p, 1.5), c["b"] - c["a"], p, c) for p, c in logits), key=lambda x: x[:3], reverse=True)
         taken: list[tuple[int, int, int]] = []
-        for p, _, _, c in scored:
+        for _, _, p, c in scored:
             if p > 0 and all(c["b"] <= a or b <= c["a"] for _, a, b in taken):
                 taken.append((c["kind"], c["a"], c["b"]))
         return sorted(taken, key=lambda x: x[1])
