@@ -1,0 +1,125 @@
+"""Sinks: label lines, class files, COCO documents, tar shards, JSON reports."""
+
+from __future__ import annotations
+
+import hashlib
+import html
+import io
+import json
+import os
+import tarfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def detect_line(class_id: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:
+    """``class cx cy w h`` with six decimals."""
+    return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, cx, cy, w, h)
+
+
+def polygon_line(class_id: Column, points: Column) -> Column:
+    """``class x y …`` clipped to the canvas; empty below three points."""
+    clip = lambda v: F.format_string("%.6f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+    body = F.array_join(F.transform(points, lambda p: F.concat_ws(" ", clip(p["x"]), clip(p["y"]))), " ")
+    return F.when(F.size(points) < 3, "").otherwise(F.concat_ws(" ", class_id.cast("string"), body))
+
+
+def write_label_files(lines: DataFrame, root: str, modality: str = "labels") -> None:
+    """Writes (split, stem, line_no, line) as one text per image; an image with a null line gets an
+    empty file. Files are written by the executors, each whole and renamed into place."""
+    per = lines.groupBy("split", "stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for split, stem, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                folder = os.path.join(root, modality, split)
+                os.makedirs(folder, exist_ok=True)
+                tmp = os.path.join(folder, f".{stem}.{os.getpid()}.tmp")
+                with open(tmp, "w", encoding="utf-8") as f:
+                    f.write(text + "\n" if text else "")
+                os.replace(tmp, os.path.join(folder, f"{stem}.txt"))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    per.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+def write_json(path: str, payload: object) -> None:
+    """A JSON document, written beside its place and renamed."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        json.dump(payload, f, ensure_ascii=False, indent=2, sort_keys=True, default=str)
+    os.replace(f"{path}.tmp", path)
+
+
+def write_classes(root: str, classes: dict[int, str]) -> None:
+    """classes.txt, data.yaml and semantic_classes.json (pixel value = class + 1)."""
+    os.makedirs(root, exist_ok=True)
+    with open(os.path.join(root, "classes.txt"), "w", encoding="utf-8") as f:
+        f.writelines(f"{i}: {n}\n" for i, n in sorted(classes.items()))
+    with open(os.path.join(root, "data.yaml"), "w", encoding="utf-8") as f:
+        f.write("path: .\ntrain: images/train\nval: images/val\nnames:\n" + "".join(f"  {i}: {json.dumps(n, ensure_ascii=False)}\n" for i, n in sorted(classes.items())))
+    write_json(os.path.join(root, "semantic_classes.json"), {"0": "background"} | {str(i + 1): n for i, n in classes.items()})
+
+
+def write_coco(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> None:
+    """A COCO document, rows streamed in id order so that the driver holds one partition at a time."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        f.write("{")
+        for k, (name, df) in enumerate((("images", images), ("annotations", annotations), ("categories", categories))):
+            f.write(f'{", " if k else ""}"{name}": [')
+            rows = df.orderBy("id").select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()
+            for i, r in enumerate(rows):
+                f.write((",\n" if i else "\n") + r["j"])
+            f.write("]")
+        f.write("}")
+    os.replace(f"{path}.tmp", path)
+
+
+def write_shards(samples: DataFrame, root: str, split: str) -> DataFrame:
+    """Tar shards of (shard, stem, suffix, data), each byte-for-byte the same for the same samples;
+    gives the manifest (file, samples, bytes, sha256). A shard is written by the task that holds it."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tar, buf, stems = None, None, None, set()
+
+        def close() -> pa.RecordBatch:
+            tar.close()
+            raw, name = buf.getvalue(), f"{split}-{now:06d}.tar"
+            os.makedirs(root, exist_ok=True)
+            with open(os.path.join(root, f"{name}.{os.getpid()}.tmp"), "wb") as f:
+                f.write(raw)
+            os.replace(os.path.join(root, f"{name}.{os.getpid()}.tmp"), os.path.join(root, name))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(stems)], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([hashlib.sha256(raw).hexdigest()])], names=["file", "samples", "bytes", "sha256"])
+
+        for b in batches:
+            for shard, stem, suffix, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if shard != now:
+                    if tar is not None:
+                        yield close()
+                    now, buf, stems = shard, io.BytesIO(), set()
+                    tar = tarfile.open(fileobj=buf, mode="w")
+                info = tarfile.TarInfo(f"{stem}.{suffix}")
+                info.size, info.mtime, info.mode = len(data), 0, 0o444
+                tar.addfile(info, io.BytesIO(data))
+                stems.add(stem)
+        if tar is not None:
+            yield close()
+
+    rows = samples.select(F.col("shard").cast("bigint"), "stem", "suffix", "data").repartition("shard").sortWithinPartitions("shard", "stem", "suffix")
+    return rows.mapInArrow(write, "file string, samples bigint, bytes bigint, sha256 string")
+
+
+def report_html(title: str, payload: dict) -> str:
+    """A plain table of a report's figures."""
+    rows = "".join(f"<tr><th>{html.escape(str(k))}</th><td>{html.escape(json.dumps(v, ensure_ascii=False, default=str))}</td></tr>" for k, v in payload.items())
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{rows}</table>"
+
+
+def subset(images: DataFrame, selected: DataFrame, *modalities: DataFrame, key: str = "stem") -> list[DataFrame]:
+    """Images and each label table cut to the selected keys."""
+    keys = selected.select(key).distinct()
+    return [d.join(keys, key, "left_semi") for d in (images, *modalities)]
