@@ -137,8 +137,15 @@ def _tag_is(want: str):
     return lambda f: f["tag"] == want
 
 
+def _unlike(key: Column, name: str) -> Column:
+    """How unlike a field's name is to a base name: names of which one holds the other come first."""
+    folded, base = F.regexp_replace(F.lower(key), "[^a-z0-9]", ""), name.replace("_", "")
+    apart = ~(folded.contains(base) | F.lit(base).contains(folded)) | (folded == "")
+    return F.struct(apart.alias("apart"), F.levenshtein(folded, F.lit(base)).alias("d"), key.alias("name"))
+
+
 def _by_distance(name: str):
-    return lambda f: F.struct(F.levenshtein(F.lower(f["name"]), F.lit(name)).alias("d"), f["name"].alias("name"))
+    return lambda f: _unlike(f["name"], name)
 
 
 def _object_changes(fields: Column, layout: Layout) -> Column:
@@ -235,8 +242,8 @@ def consistent_table(df: DataFrame, id_col: str = "template_id", body: str = "bo
         own = F.try_element_at(F.filter(e, lambda x: x["key"] == name), F.lit(1))
         known = F.array(*map(F.lit, layout.known))
         other = F.filter(e, lambda x: ~F.array_contains(known, x["key"]) & (tag(x["value"]) == want))
-        keys = F.array_sort(F.transform(other, lambda x: F.struct(F.levenshtein(F.lower(x["key"]), F.lit(name)).alias("d"), x["key"].alias("key"))))
-        best = F.try_element_at(keys, F.lit(1))["key"]
+        keys = F.array_sort(F.transform(other, lambda x: _unlike(x["key"], name)))
+        best = F.try_element_at(keys, F.lit(1))["name"]
         alt = F.try_element_at(F.filter(other, lambda x: x["key"] == best), F.lit(1))
         return F.when(F.exists(e, lambda x: x["key"] == name), own["value"]).otherwise(alt["value"])
 

@@ -68,3 +68,10 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffles rows over all cores only where the input comes in fewer pieces than there are cores
+    (one small file, say); larger inputs pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
