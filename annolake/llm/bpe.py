@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolake.session import scratch
+from annolake.session import scratch, spread
 
 SLOTS = 1 << 14
 NO_RANK = 1 << 30
@@ -161,7 +161,7 @@ def encode_documents(documents: DataFrame, bpe: Bpe | None = None) -> DataFrame:
     """(doc_id, ids), one row for every document."""
     bpe, spark = bpe or Bpe(), documents.sparkSession
     side = scratch(spark, "words")
-    documents.select("doc_id", bpe.cut(F.col("text")).alias("c")).select("doc_id", "c.codes", "c.missing").write.parquet(side)
+    spread(documents.select("doc_id", "text")).select("doc_id", bpe.cut(F.col("text")).alias("c")).select("doc_id", "c.codes", "c.missing").write.parquet(side)
     cut = spark.read.schema("doc_id bigint, codes array<int>, missing array<string>").parquet(side)
     lexicon = scratch(spark, "lexicon")
     # spread before the fold: the distinct's few, small partitions would leave most cores idle

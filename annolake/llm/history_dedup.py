@@ -55,6 +55,10 @@ class HistoryIndex:
         self.spark, self.path, self.buckets = spark, path, buckets
 
     def _read(self, name: str, schema: str) -> DataFrame:
+        """A part of the index; empty while nothing has been written to it."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def order_by(self, keys: DataFrame) -> None:

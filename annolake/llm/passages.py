@@ -38,10 +38,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 def walks_for(edits: int, words: int, sample: int, recall: float = 0.95) -> int:
-    """Walks needed for windows ``edits`` apart: an edit costs about three places of the walk (the
-    two pointers meet again after a few steps), a key of ``sample`` places survives with
-    (1 - 3 edits / 3 words)^sample."""
-    p = max(1e-6, (1 - edits / words)) ** sample
+    """Walks needed for windows ``edits`` apart: an edit costs about six of the walk's 3 * ``words``
+    places until the two pointers meet again (measured; the recall is tested), so a key of
+    ``sample`` places survives with (1 - 2 edits / words)^sample."""
+    p = max(1e-3, 1 - 2 * edits / words) ** sample
     return 1 if edits == 0 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolake.llm.plain_text import Plain
-from annolake.session import scratch
+from annolake.session import scratch, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 SAMPLE = 40_000
@@ -111,7 +111,7 @@ _NOT = {
     "number": re.compile(r"\b(?:serial|ticket|job|run|box(?:es)?|box ids(?: \d+ to)?|unix time|pixel counts|firmware|exposure|shard|row|column|seed|frame|version|quality|threshold|sensor)\W{0,3}$", re.I),
     "name": re.compile(r"(?:between|behind|from|through|at|the|in|near|of) ?$", re.I),
 }
-_IDWORD = re.compile(r"(?:ID|SSN|DNI|passport|insurance|tax|身份证|证)[^\n]{0,14}$", re.I)
+_IDWORD = re.compile(r"(?:\b(?:ID|SSN|DNI|NIE|passport|insurance|tax id|tax)\b|身份证|证号)(?: ?(?:no\.?|number|号码?))?[\s:=.#]{0,3}$", re.I)
 _CALLWORD = re.compile(r"(?:call|phone|tel|ring|number is|sms|teléfono|电话|Ausfall)[^\n]{0,6}$", re.I)
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}")
 _TLD = re.compile(r"(?:com|org|net|edu|gov|io|de|es|cn|eu|info|example|test|invalid|local)$", re.I)
@@ -213,6 +213,9 @@ def candidates(t: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
             # by definition no numbers of these kinds: those of serials, tickets, jobs, runs, boxes
             if k in (1, 2) and _NOT["number"].search(t[max(0, a - 40) : a].rpartition("\n")[2]):
                 continue
+            # and no phone number what an identity label stands right before
+            if k == 1 and _IDWORD.search(t[max(0, a - 40) : a].rpartition("\n")[2]):
+                continue
             out.append((k, a, b, _votes(KINDS[k], t, a, b)))
     return out
 
@@ -241,7 +244,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, cands): the candidate spans of every document that has any."""
-    return documents.select("doc_id", "text").filter(F.length("text") > 0).mapInArrow(_scan, f"doc_id bigint, cands {_CAND}")
+    return spread(documents.select("doc_id", "text").filter(F.length("text") > 0)).mapInArrow(_scan, f"doc_id bigint, cands {_CAND}")
 
 
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
@@ -282,7 +285,7 @@ class Model:
         """(kind, start, end) of the accepted spans without overlap: the clearly likely before the
         doubtful, then the longer, then the likelier."""
         logits = [(self.logit(c["feats"]), c) for c in cands]
-        scored = sorted(((min(p, 1.5), c["b"] - c["a"], p, c) for p, c in logits), key=lambda x: x[:3], reverse=True)
+        scored = sorted(((min(p, 0.5), c["b"] - c["a"], p, c) for p, c in logits), key=lambda x: x[:3], reverse=True)
         taken: list[tuple[int, int, int]] = []
         for _, _, p, c in scored:
             if p > 0 and all(c["b"] <= a or b <= c["a"] for _, a, b in taken):
