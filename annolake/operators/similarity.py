@@ -61,8 +61,8 @@ def nearest(queries: DataFrame, reference: DataFrame, block_rows: int = BLOCK_RO
     """(id, best_id, sim): best cosine of each query (id, vec) among the reference rows."""
     n = reference.filter(F.col("vec").isNotNull()).count()
     blocks = max(1, -(-n // block_rows))
-    ref = reference.filter(F.col("vec").isNotNull()).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("blk"), F.lit(0).alias("side"), "id", F.col("vec").cast("array<double>").alias("vec"))
-    q = queries.filter(F.col("vec").isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("blk"), F.lit(1).alias("side"), "id", F.col("vec").cast("array<double>").alias("vec"))
+    ref = reference.filter(F.col("vec").isNotNull()).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("blk"), F.col("id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    q = queries.filter(F.col("vec").isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("blk"), F.col("id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
