@@ -32,7 +32,7 @@ from annolake.session import scratch, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 SAMPLE = 40_000
-DIM = 1 << 13
+DIM = 1 << 16
 
 # Word lists of the labelers.
 GIVEN = (
@@ -282,18 +282,22 @@ class Model:
         return float(self.weights[feats].sum())
 
     def decide(self, cands: list[dict]) -> list[tuple[int, int, int]]:
-        """(kind, start, end) of the accepted spans without overlap: the clearly likely before the
-        doubtful, then the longer, then the likelier."""
-        logits = [(self.logit(c["feats"]), c) for c in cands]
-        scored = sorted(((min(p, 0.5), c["b"] - c["a"], p, c) for p, c in logits), key=lambda x: x[:3], reverse=True)
+        """(kind, start, end) of the accepted spans without overlap: of two of one kind, one inside
+        the other, the outer stands, else the likelier."""
+        likely = [(p, c) for p, c in ((self.logit(c["feats"]), c) for c in cands) if p > 0]
+        outer = [
+            (p, c["b"] - c["a"], c)
+            for p, c in likely
+            if not any(o["kind"] == c["kind"] and o["a"] <= c["a"] and c["b"] <= o["b"] and o["b"] - o["a"] > c["b"] - c["a"] for _, o in likely)
+        ]
         taken: list[tuple[int, int, int]] = []
-        for _, _, p, c in scored:
-            if p > 0 and all(c["b"] <= a or b <= c["a"] for _, a, b in taken):
+        for _, _, c in sorted(outer, key=lambda x: x[:2], reverse=True):
+            if all(c["b"] <= a or b <= c["a"] for _, a, b in taken):
                 taken.append((c["kind"], c["a"], c["b"]))
         return sorted(taken, key=lambda x: x[1])
 
 
-def train(cands: DataFrame, sample: int = SAMPLE, epochs: int = 12, rate: float = 0.4) -> Model:
+def train(cands: DataFrame, sample: int = SAMPLE, epochs: int = 15, rate: float = 0.4) -> Model:
     """Labels all vote patterns by EM, then fits the classifier on at most ``sample`` spans, the
     ones with the smallest hashes."""
     each = cands.select("doc_id", F.explode("cands").alias("c"))
@@ -313,7 +317,7 @@ def train(cands: DataFrame, sample: int = SAMPLE, epochs: int = 12, rate: float
     w, g2 = np.zeros(DIM + 1), np.full(DIM + 1, 1e-8)
     order = np.random.default_rng(1)
     for _ in range(epochs):
-        for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 64)):
+        for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 128)):
             err = 1 / (1 + np.exp(-np.clip(w[x[part]].sum(1), -30, 30))) - y[part]
             g = np.bincount(x[part].ravel(), weights=np.repeat(err, length), minlength=DIM + 1) + 1e-5 * w
             g[DIM] = 0

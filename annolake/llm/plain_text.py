@@ -14,6 +14,7 @@ import unicodedata
 _CONT = "[\x80-\xbfŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"
 _SPECIAL = re.compile(
     rf"&(?:#\d{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z]{{2,8}});"
+    r"|[A-Za-z][\u0300-\u036f]+"  # decomposed accents
     r"|</?(?:p|b|i|u|br|hr|em|li|ul|ol|td|tr|th|div|span|code|pre|strong|small|table|h[1-6])(?:\s[^<>@]{0,80})?/?>"
     rf"|[\xc3-\xdf]{_CONT}|[\xe0-\xef]{_CONT}{{2}}|[\xf0-\xf4]{_CONT}{{3}}|\xc2[\xa0-\xbf]"
     "|[­​-‏‪-‮⁠-⁤﻿]"
