@@ -74,4 +74,20 @@ def p10_redacted(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p5_found, p5_split, p5_totals, p8_ids, p8_roundtrip, p9_found, p9_near, p10_found, p10_redacted)}
-SQL: dict[str, str] = {}
+_SPLIT = "CASE {} WHEN 'train' THEN 'train' WHEN 'training' THEN 'train' WHEN 'val' THEN 'val' WHEN 'valid' THEN 'val' WHEN 'validation' THEN 'val' WHEN 'test' THEN 'test' WHEN 'testing' THEN 'test' END"
+_NAMES = "('train', 'training', 'val', 'valid', 'validation', 'test', 'testing')"
+
+SQL = {
+    "p5_found": rf"""
+WITH p AS (SELECT DISTINCT idx, trim(regexp_replace(trim(regexp_replace(lower(trim(replace(replace(background, '%20', ' '), '\', '/'))), '^.*/', '')), '\.[^.]*$', '')) AS b FROM sample_plans WHERE background IS NOT NULL),
+i AS (SELECT image_id, plan_idx, coalesce({_SPLIT.format("lower(trim(split))")},
+  {_SPLIT.format(f"list_filter(list_transform(string_split(replace(lower(path), chr(92), '/'), '/'), lambda x: trim(x)), lambda x: x IN {_NAMES})[-1]")}) AS s FROM images)
+SELECT b AS background FROM p JOIN i ON i.plan_idx = p.idx WHERE b <> '' AND s IS NOT NULL GROUP BY b HAVING count(DISTINCT s) > 1""",
+    "p9_found": r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT id, array_to_string(list_slice(w, i, i + 10), ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1))) AS i)),
+ew AS (SELECT DISTINCT id, array_to_string(list_slice(w, i, i + 10), ' ') AS k FROM e, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1))) AS i))
+SELECT DISTINCT dw.id AS doc_id, ew.id AS item_id FROM dw JOIN ew USING (k)""",
+    "p8_roundtrip": "SELECT doc_id FROM documents WHERE FALSE",
+}
