@@ -94,6 +94,17 @@ def test_nearest_over_blocks_and_hashes(spark):
     assert {r["pos"]: (r["owner"], r["distance"]) for r in similarity.near_hashes(d, 6).collect()} == want
 
 
+def test_crowding_of_wide_images_equals_arrays(spark):
+    from annolake.operators import profile
+
+    rng = random.Random(6)
+    rows = [(k % 3, f"{k:05d}", "x", rng.random(), rng.random(), 0.2 * rng.random(), 0.2 * rng.random()) for k in range(160)] + [(9, "0", "y", 0.5, 0.5, 0.1, 0.1)]
+    b = spark.createDataFrame(rows, "stem bigint, ord string, label string, cx double, cy double, w double, h double")
+    small, wide = (sorted((r["stem"], r["ord"], r["label"], round(r["max_iou"], 9)) for r in profile.crowding(b, wide=w).collect()) for w in (1000, 16))
+    assert small == wide and len(small) == 161 and max(x[3] for x in small) > 0.1
+    assert profile.crowding(b.limit(0)).count() == 0
+
+
 def test_files_round_trip(spark, tmp_path):
     root = str(tmp_path)
     for s in ("train", "val"):
