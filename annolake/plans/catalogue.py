@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolake.functions import geometry as g
-from annolake.operators import compose, hard_examples, labels, lineage, profile, similarity
+from annolake.operators import compose, hard_examples, labels, lineage, planning, profile, similarity
 from annolake.operators.ranking import running
 from annolake.session import table
+from annolake.sources import writers
 
 SPLIT_ORDER = {"train": 0, "val": 1, "test": 2}
 
@@ -260,13 +261,35 @@ def background_cycle(spark, d):
     return o.select(F.pmod("idx", F.lit(n)).alias("slot")).join(p.select("slot", "s_suppkey"), "slot").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n_uses"))
 
 
+def label_first_plan(spark, d):
+    """A seeded plan of as many samples as there are orders, some of them empty scenes."""
+    n = table(spark, d, "orders").select("o_orderkey").distinct().count()
+    c = planning.PlanConfig(planning.parse_class_map("person=0,truck=1,cone=2"), 1, 5, empty_probability=0.05, hard_case=planning.HARD_CASES["crowded"])
+    return planning.plan(spark, n, 42, c)
+
+
+def pending_tasks(spark, d):
+    """Planned tasks whose last state is not the completed one."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("idx"), F.col("event_type").alias("status"), "ts", "event_id")
+    last = compose.last_state(e, "idx", ("ts", "event_id")).withColumn("status", F.when(F.col("status") == "purchase", "completed").otherwise(F.col("status")))
+    return compose.pending(table(spark, d, "customer").select(F.col("c_custkey").alias("idx")).distinct(), last)
+
+
+def coco_subset(spark, d):
+    """Annotations of a selected fifth of the images' stems, counted by category."""
+    images, anns = table(spark, d, "coco_images"), table(spark, d, "coco_annotations").dropDuplicates(["id"])
+    chosen = images.filter(F.pmod(F.length("stem") + F.col("id"), F.lit(5)) == 0).select(F.col("id").alias("image_id"))
+    kept = writers.subset(chosen, chosen, anns, key="image_id")[1]
+    return kept.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("area", 1)), 1).alias("area"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         label_class_rollup, class_imbalance, label_line_validation, missing_labels, objects_per_image, class_histograms, crowding_max_iou, split_profile_distance, profile_mix,
         exact_duplicates, cross_split_exact_leak, phash_bits, phash_band_candidates, cross_split_embedding_leak, uniqueness_summary, domain_compare, diverse_subset, hard_example_scores,
         hard_example_topk, fn_fp_by_class, source_reuse, source_components, source_aware_split, split_leak_sources, merge_dense_ids, shard_by_count, shard_by_bytes, coco_validity,
-        run_state_counts, task_seeds, qa_warnings, visibility_diagnostics, template_constraints, background_cycle,
+        run_state_counts, task_seeds, qa_warnings, visibility_diagnostics, template_constraints, background_cycle, label_first_plan, pending_tasks, coco_subset,
     )
 }
 

@@ -143,4 +143,9 @@ SELECT n.category_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(image_id) AS BIGIN
   SELECT a.cx + 0.05 <= b.cx AND round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 9) <= 0.6 AS satisfied, CAST(count(*) AS BIGINT) AS n FROM f a JOIN f b ON a.stem = b.stem AND a.label = 'A' AND b.label = 'N' GROUP BY 1""",
     "background_cycle": """WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS slot, count(*) OVER () AS n FROM supplier), o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM (SELECT DISTINCT o_orderkey FROM orders))
   SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n_uses FROM p JOIN o ON o.idx % p.n = p.slot GROUP BY s_suppkey""",
+    "pending_tasks": """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+  SELECT DISTINCT c_custkey AS idx FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM r WHERE rn = 1 AND event_type = 'purchase' AND user_id IS NOT NULL)""",
+    "coco_subset": """WITH c AS (SELECT DISTINCT id FROM coco_images WHERE (length(stem) + id) % 5 = 0),
+  a AS (SELECT id, any_value(image_id) AS image_id, any_value(category_id) AS category_id, any_value(area) AS area FROM coco_annotations GROUP BY id)
+  SELECT category_id, CAST(count(*) AS BIGINT) AS n, round(sum(round(area, 1)), 1) AS area FROM a WHERE image_id IN (SELECT id FROM c) GROUP BY category_id""",
 }
