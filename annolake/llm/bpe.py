@@ -20,6 +20,7 @@ words are folded in place, word by word, with the same ids.
 from __future__ import annotations
 
 import base64
+import copy
 import json
 from functools import lru_cache
 
@@ -108,8 +109,22 @@ class Bpe:
 
         return _let(F.coalesce(F.array_min(s["r"]), F.lit(NO_RANK)), lambda low: F.when(low == NO_RANK, s).otherwise(at(low)))
 
+    def _sharing(self, build) -> Column:
+        """``build(codec)`` with the rank literal bound once: every further mention would be a copy
+        of the vocabulary in the plan and in each task."""
+
+        def bound(ranks: Column) -> Column:
+            other = copy.copy(self)
+            other.ranks = ranks
+            return build(other)
+
+        return _let(self.ranks, bound)
+
     def encode_word(self, word: Column) -> Column:
         """array<int> of one non-empty word."""
+        return self._sharing(lambda codec: codec._encode_word(word))
+
+    def _encode_word(self, word: Column) -> Column:
 
         def fold(h: Column) -> Column:
             return _let(F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.substring(h, i, 2)), folded)
@@ -129,11 +144,13 @@ class Bpe:
 
     def encode_inline(self, text: Column) -> Column:
         """The ids of one text as a single expression, word by word: for few or short texts."""
-        return F.flatten(F.transform(self.words(text), self.encode_word))
+        return self._sharing(lambda codec: F.flatten(F.transform(codec.words(text), codec._encode_word)))
 
     def cut(self, text: Column) -> Column:
         """struct<codes, missing>: per word its id, or -k for the k-th of the words to be folded."""
+        return self._sharing(lambda codec: codec._cut(text))
 
+    def _cut(self, text: Column) -> Column:
         # steps are bound to lambda variables: as columns of their own, the optimizer would inline
         # them into the lambdas that use them and compute them anew for each word
         def of(words: Column) -> Column:
@@ -143,7 +160,7 @@ class Bpe:
 
         def coded(words: Column, missing: Column) -> Column:
             short = F.transform(words, lambda w: F.coalesce(self.word_rank(w), -F.array_position(missing, w).cast("int")))
-            codes = F.when(F.size(words) <= DIRECT, short).otherwise(F.flatten(F.transform(words, self.encode_word)))
+            codes = F.when(F.size(words) <= DIRECT, short).otherwise(F.flatten(F.transform(words, self._encode_word)))
             return F.struct(codes.alias("codes"), missing.alias("missing"))
 
         return _let(self.words(text), of)
