@@ -4,8 +4,8 @@ Tagged-union inference on Spark's VARIANT type. Every JSON path is tagged with t
 (``tag_paths``), the parallel schemas are fused into one union per path with the first time each
 alternative appeared (``tagged_union``), conflicting paths are split into typed branches plus one
 canonical value (``consistent_table``), and each file's deviation from a base layout is named
-(``changes``). Everything is narrow JVM-side expressions; the only shuffles are the partial
-aggregate of the fuse and the final distinct of changes.
+(``changes``). Everything is narrow, JVM-side but for the walk of ``tag_paths``; the only shuffles are
+the partial aggregate of the fuse and the final distinct of changes.
 
 Defined results for odd input: a null, empty, non-JSON or non-object body has no paths and no
 changes and shows up in ``unreadable``; a missing, null or non-object ``variation`` is an empty one;
@@ -15,10 +15,14 @@ other than the four named are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: The field names of the base layout at the two levels that are compared.
 BASE_TOP = ("schema", "version", "canvas", "instances", "constraints", "parameters")
@@ -187,24 +191,47 @@ def changes(df: DataFrame, id_col: str = "template_id", body: str = "body", top:
     return o.select(id_col, F.explode(c).alias("c")).select(id_col, "c.field_name", "c.change_kind").distinct()
 
 
-def tag_paths(df: DataFrame, keep: list[str], body: str = "body", depth: int = 4) -> DataFrame:
-    """(keep..., path, tag): the tag of every value down to ``depth`` levels; array items share the
-    path ``[]``. Each level is one lateral explode, no shuffle."""
-    level = parsed(df.select(*keep, body), body).filter(F.col("_doc").isNotNull()).select(*keep, F.lit("$").alias("path"), F.col("_doc").alias("v"))
-    out = None
-    for k in range(depth):
-        t = tag(F.col("v"))
-        items = F.transform(
-            F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.expr("cast(array() as array<variant>)")),
-            lambda x: F.struct(F.lit("[]").alias("key"), x.alias("value")),
-        )
-        kids = F.when(t == "object", F.transform(_entries(F.col("v")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("key"), e["value"].alias("value")))).otherwise(items)
-        level = level.select(*keep, "path", F.explode(kids).alias("e")).select(
-            *keep, F.concat("path", "e.key").alias("path"), F.col("e.value").alias("v")
-        )
-        tagged = level.select(*keep, "path", tag(F.col("v")).alias("tag"))
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
+def _tag_of(v: object) -> str:
+    """As ``tag``, of a value read by ``_DECODER``."""
+    if isinstance(v, list):
+        return "number_pair" if len(v) == 2 and all(type(x) in (int, float) for x in v) else "array"
+    return _TAGS[type(v)]
+
+
+_TAGS = {type(None): "null", str: "string", bool: "boolean", int: "integer", float: "number", dict: "object"}
+# whole numbers beyond 64 bits are decimals in a variant; of other numbers only the kind counts
+_DECODER = json.JSONDecoder(strict=False, parse_float=lambda _: 0.0, parse_int=lambda s: int(s) if len(s) < 20 and -(2**63) <= int(s) < 2**63 else 0.0)
+
+
+def _walk(body: str) -> Iterator[tuple[str, str]]:
+    """(path, tag) of every value below the root of a readable document, at any depth."""
+    todo = [("$", _DECODER.raw_decode(body.lstrip(" \t\r\n\ufeff"))[0])]
+    while todo:
+        path, v = todo.pop()
+        for key, x in ((f".{k}", x) for k, x in v.items()) if isinstance(v, dict) else (("[]", x) for x in v):
+            # half of a surrogate pair becomes what the JVM makes of it
+            at = path + key.encode("utf-8", "replace").decode()
+            yield at, _tag_of(x)
+            if isinstance(x, dict | list):
+                todo.append((at, x))
+
+
+def tag_paths(df: DataFrame, keep: list[str], body: str = "body") -> DataFrame:
+    """(keep..., path, tag): the tag of every value at every depth; array items share the path
+    ``[]``. One Arrow pass over the readable bodies, no shuffle."""
+    p = parsed(df.select(*keep, F.col(body).alias("_body")), "_body").filter(F.col("_doc").isNotNull()).select(*keep, "_body")
+    schema = StructType([*(StructField(f.name, f.dataType) for f in p.schema.fields[:-1]), StructField("path", StringType()), StructField("tag", StringType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                found = [(i, *x) for i, text in enumerate(part.column(part.num_columns - 1).to_pylist()) for x in _walk(text)]
+                at = pa.array([x[0] for x in found], pa.int64())
+                own = [part.column(i).take(at) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], names=[*keep, "path", "tag"])
+
+    return p.mapInArrow(rows, schema)
 
 
 def tagged_union(df: DataFrame, id_col: str = "template_id", at: str = "written_at", by: str = "writer", body: str = "body") -> DataFrame:

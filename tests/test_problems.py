@@ -66,6 +66,24 @@ def test_consistent_table_and_union(spark):
     assert u["$.instances[].variation.cx_range", "number_pair"]["n_files"] == 5
 
 
+def test_union_has_no_depth_limit(spark):
+    deep = json.loads('{"a":' * 40 + '"x"' + "}" * 40)
+    bodies = [
+        json.dumps(body(instances=var(cx_range=["1", "2"], shadow={"on": True, "at": [[1, 2.5], [None]]}))), json.dumps(body(instances=var(cx_range={"min": 0.2, "max": 1}))),
+        json.dumps(body(deep=deep)), '{"big": [12345678901234567890, 9223372036854775807, 2.0, 1e5, -0], "e": [{}, []]}', "[1]", "{oops", None,
+    ]
+    df = spark.createDataFrame([(i, b, T0, "w") for i, b in enumerate(bodies)], "template_id bigint, body string, written_at timestamp, writer string")
+    u = {(r["path"], r["tag"]): (r["n_files"], r["n_values"]) for r in schema_drift.tagged_union(df).collect()}
+    cx, shadow = "$.instances[].variation.cx_range", "$.instances[].variation.shadow"
+    assert u[f"{cx}[]", "string"] == (1, 2) and u[f"{cx}.min", "number"] == (1, 1) and u[f"{cx}.max", "integer"] == (1, 1) and u[f"{cx}[]", "number"] == (1, 2)
+    assert u[f"{shadow}.on", "boolean"] == (1, 1) and u[f"{shadow}.at[]", "number_pair"] == (1, 1) and u[f"{shadow}.at[][]", "null"] == (1, 1)
+    assert u["$.deep" + ".a" * 40, "string"] == (1, 1) and u["$.e[]", "array"] == (1, 1)
+    # the walk's tags are those of the variants
+    one = df.filter("template_id = 3")
+    v = schema_drift.parsed(one).select(F.explode(F.expr("variant_get(_doc, '$.big', 'array<variant>')")).alias("v")).select(schema_drift.tag(F.col("v")).alias("t"))
+    assert sorted(r["t"] for r in v.collect()) == sorted(r["tag"] for r in schema_drift.tag_paths(one, ["template_id"]).collect() if r["path"] == "$.big[]")
+
+
 def brute_orphans(refs, parents):
     out = set()
     for i, k, t in refs:
