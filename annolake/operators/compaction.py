@@ -1,8 +1,8 @@
 """Problem 7: millions of tiny result files into few files of good size, one record per key.
 
-Partition-local compaction of a versioned table (``SnapshotTable``): partitions with too many small
-files, or with repeated keys, are found by an aggregate over file sizes; only these are rewritten,
-by dynamic partition overwrite; a snapshot manifest per version, created exclusively in the shared
+Partition-local compaction of a versioned table (``SnapshotTable``): every run is loaded once; after
+that, partitions with too many small files, with repeated keys or with records the table lacks are
+found by aggregates and only these are rewritten, by dynamic partition overwrite; a snapshot manifest per version, created exclusively in the shared
 folder, gives the commit, and a commit based on an old snapshot is refused.
 
 The survivor of a (run_id, index) is found by a map-side combined ``max`` of its order, then joined
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annolake.session import delete_path, scratch
+from annolake.session import checkpoint, delete_path, scratch
 
 RECORD = "fragment_id bigint, rec_no int, run_id string, modified_at timestamp, index_key string, ok boolean, stem string, objects bigint, error string, problem string, n_bytes bigint"
 _ARROW = pa.schema([
@@ -198,20 +198,26 @@ def spread_files(df: DataFrame, partition: str, target_bytes: int, row_bytes: in
 
 
 def compact_fragments(fragments: DataFrame, path: str, target_bytes: int = 128 << 20, max_small: int = 1, small_bytes: int = 1 << 20) -> tuple[SnapshotTable, DataFrame]:
-    """Writes the surviving records of the runs with more than ``max_small`` fragments under
-    ``small_bytes``, or with repeated keys, to a snapshot table at ``path``; gives the table and the
-    flagged records (a written table, so that a lost executor costs no recomputation)."""
+    """Writes the surviving records of all runs to a snapshot table at ``path``; of runs that stand
+    whole in the table already, only those with more than ``max_small`` fragments under
+    ``small_bytes``, or with repeated keys, are rewritten. Gives the table and the flagged records (a
+    written table, so that a lost executor costs no recomputation)."""
     spark = fragments.sparkSession
     side = scratch(spark, "records")
     with_survival(records(fragments)).write.parquet(side)
     flagged = spark.read.parquet(side)
     small = fragments.filter(F.coalesce(F.col("n_bytes"), F.lit(0)) < small_bytes).groupBy("run_id").agg(F.count_distinct("fragment_id").alias("_n")).filter(F.col("_n") > max_small)
     torn = flagged.filter(~F.col("survives")).select("run_id").distinct()
-    runs = small.select("run_id").unionByName(torn).distinct().withColumnRenamed("run_id", "_run")
     once = Window.partitionBy("fragment_id", "rec_no").orderBy("modified_at")
-    good = flagged.filter("survives").join(runs, F.col("run_id").eqNullSafe(F.col("_run")), "left_semi").withColumn("_rn", F.row_number().over(once)).filter("_rn = 1").drop("_rn", "survives")
+    good = flagged.filter("survives").withColumn("_rn", F.row_number().over(once)).filter("_rn = 1").drop("_rn", "survives")
     t = SnapshotTable(spark, path, "run_id")
-    t.rewrite(spread_files(good, "run_id", target_bytes), t.version(), "compaction of fragments")
+    base = t.version()
+    if base:
+        missing = good.join(t.read().select("fragment_id", "rec_no"), ["fragment_id", "rec_no"], "left_anti").select("run_id")
+        # cut from the table before its partitions are overwritten
+        runs = checkpoint(small.select("run_id").unionByName(torn).unionByName(missing).distinct().withColumnRenamed("run_id", "_run"))
+        good = good.join(runs, F.col("run_id").eqNullSafe(F.col("_run")), "left_semi")
+    t.rewrite(spread_files(good, "run_id", target_bytes), base, "compaction of fragments")
     return t, flagged
 
 

@@ -176,6 +176,20 @@ def test_compaction(spark):
         t._claim(2, {})
 
 
+def test_compaction_keeps_untouched_runs(spark):
+    o = lambda i: json.dumps({"index": i, "ok": True})
+    rows = [(1, "one", o(1), 10), (2, "large", o(1), 5 << 20), (3, "large", o(2), 5 << 20), (4, "many", o(1), 10), (5, "many", o(2), 10), (6, None, o(1), 10), (7, "torn", o(1), 10), (8, "torn", o(1), 5 << 20)]
+    f = lambda rows: spark.createDataFrame([(*r, T0) for r in rows], "fragment_id bigint, run_id string, body string, n_bytes bigint, modified_at timestamp")
+    path = scratch(spark, "t")
+    t, _ = compaction.compact_fragments(f(rows), path)
+    assert sorted(r["fragment_id"] for r in t.read().collect()) == [1, 2, 3, 4, 5, 6, 8]
+    files = {r["f"] for r in t.read().filter("run_id in ('one', 'large')").select(F.col("_metadata.file_path").alias("f")).collect()}
+    # a second round adds the new run and leaves the whole ones where they are
+    t, _ = compaction.compact_fragments(f([*rows, (9, "new", o(1), 10)]), path)
+    assert t.version() == 2 and sorted(r["fragment_id"] for r in t.read().collect()) == [1, 2, 3, 4, 5, 6, 8, 9]
+    assert files == {r["f"] for r in t.read().filter("run_id in ('one', 'large')").select(F.col("_metadata.file_path").alias("f")).collect()}
+
+
 def test_small_files_become_few(spark):
     path = scratch(spark, "many")
     spark.range(4000).select("id", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("part")).repartition(40).write.partitionBy("part").parquet(f"{path}/data")
