@@ -5,7 +5,8 @@ walks: a walk reads the window with a pointer that moves on or stays by a random
 stands on, three times the window's length, so that few edits between two windows become few
 differing places. Keys are hashes of a sample of the walk's places (bit-sampling LSH); equal windows
 agree in every key, windows some edits apart agree in one of ``walks`` repetitions with the wanted
-recall (``walks_for``). Candidates pass an exact word-level edit check.
+recall (``walks_for``). Candidates pass an exact word-level edit check against all passages of
+``words`` - ``edits`` to ``words`` + ``edits`` words that start where the document's window does.
 
 A word is a run of letters and digits in lower case, whatever stands between words. Documents are
 walked in blocks of words (long texts in overlapping slices), all windows of a block at once in
@@ -38,10 +39,11 @@ def words_of(text: str | None) -> list[str]:
 
 
 def walks_for(edits: int, words: int, sample: int, recall: float = 0.95) -> int:
-    """Walks needed for windows ``edits`` apart: an edit costs about six of the walk's 3 * ``words``
-    places until the two pointers meet again (measured; the recall is tested), so a key of
-    ``sample`` places survives with (1 - 2 edits / words)^sample."""
-    p = max(1e-3, 1 - 2 * edits / words) ** sample
+    """Walks needed for passages ``edits`` apart: an inserted or missing word costs about nine of the
+    walk's 3 * ``words`` places, a changed one six, until the two pointers meet again and at the
+    window's end (measured; the recall is tested), so a key of ``sample`` places survives with
+    (1 - 3 edits / words)^sample or more."""
+    p = max(1e-3, 1 - 3 * edits / words) ** sample
     return 1 if edits == 0 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
@@ -55,15 +57,16 @@ class Walks:
         # a place far along the walk may lie behind the window's end: sample where words still stand
         self.places = [np.sort(rng.choice(int(self.steps * 0.8), sample, replace=False)) for _ in range(walks)]
 
-    def keys(self, codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """For each walk the keys of the windows at ``starts`` of the code array."""
+    def keys(self, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+        """For each walk the keys of the windows at ``starts`` of the code array; a window ends at its
+        text's end, ``stops``, where that comes first."""
         vocab, ids = np.unique(codes, return_inverse=True)
         ids = np.concatenate((ids.astype(np.int32), np.zeros(self.words, np.int32)))
         out = []
         for salt, places in zip(self.salt, self.places, strict=True):
             taken = set(places.tolist())
             key = np.full(len(starts), 0x9E3779B97F4A7C15, np.uint64)
-            at, end = starts.astype(np.int64), starts + self.words
+            at, end = starts.astype(np.int64), np.minimum(starts + self.words, stops)
             for j in range(max(taken) + 1):
                 cur = ids[at]
                 if j in taken:
@@ -100,6 +103,24 @@ def within(a: list[str], b: list[str], edits: int) -> int | None:
     return row[-1] if row[-1] <= edits else None
 
 
+def within_prefix(a: list[str], b: list[str], edits: int) -> int | None:
+    """The least word-level edit distance between ``a`` and a beginning of ``b``, if at most ``edits``."""
+    if a == b[: len(a)]:
+        return 0
+    if edits == 0 or len(b) < len(a) - edits:
+        return None
+    far = edits + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i] + [far] * len(b)
+        for j in range(max(1, i - edits), min(len(b), i + edits) + 1):
+            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
+        row = new
+        if min(row) > edits:
+            return None
+    return min(row)
+
+
 class ItemIndex:
     """Sorted keys of all item windows, per walk, with the window behind each."""
 
@@ -117,13 +138,13 @@ class ItemIndex:
                     self.windows.append((item, w[k : k + n]))
         codes = np.concatenate([code_words(w, memo) for _, w in self.windows]) if self.windows else np.zeros(0, np.uint64)
         self.sorted = []
-        for key in walks.keys(codes, np.arange(len(self.windows)) * n) if self.windows else []:
+        for key in walks.keys(codes, np.arange(len(self.windows)) * n, np.int64(len(codes))) if self.windows else []:
             order = np.argsort(key, kind="stable")
             self.sorted.append((key[order], order))
 
-    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    def candidates(self, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int]]:
         """(place in starts, window number) of equal keys."""
-        for (keys, order), probe in zip(self.sorted, self.walks.keys(codes, starts), strict=True):
+        for (keys, order), probe in zip(self.sorted, self.walks.keys(codes, starts, stops), strict=True):
             lo = np.searchsorted(keys, probe, "left")
             hit = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == probe))
             hi = np.searchsorted(keys, probe[hit], "right")
@@ -132,14 +153,15 @@ class ItemIndex:
                     yield k, int(order[t])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """Documents' words in blocks of about BLOCK_WORDS; a longer text in slices that overlap by n - 1."""
+def _blocks(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Documents' words in blocks of about BLOCK_WORDS, texts under ``least`` words left out; a longer
+    text in slices that overlap by ``most`` - 1."""
     block, size = [], 0
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             w = words_of(text)
-            for k in range(0, max(len(w) - n + 1, 0), BLOCK_WORDS):
-                part = w[k : k + BLOCK_WORDS + n - 1]
+            for k in range(0, max(len(w) - least + 1, 0), BLOCK_WORDS):
+                part = w[k : k + BLOCK_WORDS + most - 1]
                 block.append((doc, part))
                 size += len(part)
                 if size >= BLOCK_WORDS:
@@ -151,24 +173,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple[in
 
 def _finder(index: ItemIndex, edits: int):
     n = index.walks.words
+    least = max(1, n - edits)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        for block in _blocks(batches, n):
+        for block in _blocks(batches, least, n + edits):
             if len(memo) > 2_000_000:
                 memo.clear()
             codes = [code_words(w, memo) for _, w in block]
             first = np.concatenate(([0], np.cumsum([len(c) for c in codes])))
-            starts = np.concatenate([np.arange(f, f + len(c) - n + 1) for f, c in zip(first, codes, strict=False)])
-            owner = np.repeat(np.arange(len(block)), [len(c) - n + 1 for c in codes])
+            starts = np.concatenate([np.arange(f, f + len(c) - least + 1) for f, c in zip(first, codes, strict=False)])
+            owner = np.repeat(np.arange(len(block)), [len(c) - least + 1 for c in codes])
             best: dict[tuple[int, int], int] = {}
-            for k, win in index.candidates(np.concatenate(codes), starts):
+            for k, win in index.candidates(np.concatenate(codes), starts, first[owner + 1]):
                 d, (item, want) = int(owner[k]), index.windows[win]
                 key = (block[d][0], item)
                 if best.get(key) == 0:
                     continue
                 s = int(starts[k] - first[d])
-                dist = within(block[d][1][s : s + n], want, edits)
+                dist = within_prefix(want, block[d][1][s : s + n + edits], edits)
                 if dist is not None:
                     best[key] = min(dist, best.get(key, dist))
             if best:
@@ -177,18 +200,20 @@ def _finder(index: ItemIndex, edits: int):
     return find
 
 
-def _windows(walks: Walks):
-    """Rows (walk, key, id, win) of all windows, for the shuffled way."""
+def _windows(walks: Walks, edits: int = 0):
+    """Rows (walk, key, id, win) of all windows, for the shuffled way; ``win`` reaches ``edits`` words
+    further than the window."""
     n = walks.words
+    least = max(1, n - edits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        for block in _blocks(batches, n):
+        for block in _blocks(batches, least, n + edits):
             for doc, w in block:
                 codes = code_words(w, memo)
-                starts = np.arange(len(codes) - n + 1)
-                wins = pa.array([" ".join(w[k : k + n]) for k in range(len(starts))])
-                for m, key in enumerate(walks.keys(codes, starts)):
+                starts = np.arange(len(codes) - least + 1)
+                wins = pa.array([" ".join(w[k : k + n + edits]) for k in range(len(starts))])
+                for m, key in enumerate(walks.keys(codes, starts, np.int64(len(codes)))):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(key), m, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), doc, np.int64)), wins], names=["walk", "key", "id", "win"]
                     )
@@ -199,7 +224,7 @@ def _windows(walks: Walks):
 def _verify(edits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = [within(x.split(" "), y.split(" "), edits) for x, y in zip(b.column("win").to_pylist(), b.column("want").to_pylist(), strict=True)]
+            d = [within_prefix(y.split(" "), x.split(" "), edits) for x, y in zip(b.column("win").to_pylist(), b.column("want").to_pylist(), strict=True)]
             keep = [k for k, x in enumerate(d) if x is not None]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep, pa.int64())), b.column("item_id").take(pa.array(keep, pa.int64())), pa.array([d[k] for k in keep], pa.int32())], names=["doc_id", "item_id", "edits"])
 
@@ -221,7 +246,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = 11, edits: int =
         found = docs.mapInArrow(_finder(index, edits), "doc_id bigint, item_id bigint, edits int")
     else:
         rows = "walk int, key bigint, id bigint, win string"
-        a = docs.mapInArrow(_windows(walks), rows).withColumnRenamed("id", "doc_id")
+        a = docs.mapInArrow(_windows(walks, edits), rows).withColumnRenamed("id", "doc_id")
         b = own.mapInArrow(_windows(walks), rows).withColumnsRenamed({"id": "item_id", "win": "want"}).distinct()
         found = a.join(b, ["walk", "key"]).select("doc_id", "item_id", "win", "want").mapInArrow(_verify(edits), "doc_id bigint, item_id bigint, edits int")
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))

@@ -226,6 +226,29 @@ def test_near_passages_reach_the_recall(spark):
     assert len(got & {(i, i) for i in range(150)}) >= 135
 
 
+@pytest.mark.parametrize("kinds", ["ii", "dd", "id"])
+@pytest.mark.parametrize("broadcast", [passages.BROADCAST_WINDOWS, 0])
+def test_near_passages_with_words_extra_or_missing(spark, kinds, broadcast):
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, 20))) for i in range(150)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for kind in kinds:
+            w[(at := rng.randrange(4, 16)) : at + (kind == "d")] = ["extra"] if kind == "i" else []
+        # a third each within a document, at its end, and alone
+        docs.append((i, " ".join((words(rng, 30) if i % 3 < 2 else []) + w + (words(rng, 30) if i % 3 < 1 else []))))
+    dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in passages.leaks(dd, ii, words=20, edits=2, broadcast_windows=broadcast).collect()}
+    assert len(got.keys() & {(i, i) for i in range(150)}) >= 135 and max(got.values()) == 2
+
+
+def test_distance_to_a_beginning():
+    a, f = "a b c d e f".split(), passages.within_prefix
+    assert f(a, "a b c d e f g".split(), 0) == 0 and f(a, "a b x y c d e f g".split(), 2) == 2 and f(a, "a b e f g h".split(), 2) == 2 and f(a, "a b c d".split(), 2) == 2
+    assert f(a, "a b c".split(), 2) is None and f(a, "a b x y z c d e f".split(), 2) is None
+
+
 def test_edit_distance_of_words():
     a = "a b c d e f".split()
     assert passages.within(a, a, 0) == 0 and passages.within(a, "a b x d e f".split(), 1) == 1 and passages.within(a, "b c d e f".split(), 1) == 1 and passages.within(a, "a c b d f e".split(), 2) is None
