@@ -110,29 +110,45 @@ def centroid(vectors: DataFrame) -> DataFrame:
     return m.select(F.transform("m", lambda v: v / norm).alias("centroid"))
 
 
-def select_diverse(vectors: DataFrame, count: int, limit: int = 5000) -> DataFrame:
-    """(rank, id, score): greedy farthest points among the first ``limit`` vectors by id (O4, a
-    bounded report: the limit is the operator's own)."""
-    top = vectors.filter(F.col("vec").isNotNull()).orderBy("id").limit(limit)
-
-    def pick(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("id").to_numpy(), kind="stable")
-        ids = t.column("id").to_numpy()[order]
-        m = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)[order]
-        mid = m.mean(0)
-        mid /= np.linalg.norm(mid) + 1e-8
-        k = int(np.argmin(m @ mid))
-        chosen, scores, far = [k], [1.0 - float(m[k] @ mid)], np.full(len(ids), np.inf)
-        while len(chosen) < min(count, len(ids)):
-            far = np.minimum(far, 1.0 - m @ m[chosen[-1]])
-            far[chosen] = -1.0
-            k = int(np.argmax(far))
-            scores.append(max(0.0, float(far[k])))
-            chosen.append(k)
-        n = len(chosen) if count > 0 else 0
-        return pa.table({"rank": pa.array(range(1, n + 1), pa.int32()), "id": pa.array(ids[chosen[:n]].tolist(), pa.int64()), "score": pa.array(scores[:n], pa.float64())})
-
-    return top.groupBy(F.lit(1).alias("_g")).applyInArrow(pick, "rank int, id bigint, score double")
+def select_diverse(vectors: DataFrame, count: int, limit: int | None = None) -> DataFrame:
+    """(rank, id, score): greedy farthest points among all vectors, or the first ``limit`` by id.
+    Each round is one pass that sends the chosen vectors, ``count`` at most, to the rows and brings
+    back the farthest one."""
+    spark, schema = vectors.sparkSession, "rank int, id bigint, score double"
+    own = vectors.filter(F.col("vec").isNotNull()).select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    if limit is not None:
+        own = own.orderBy("id").limit(limit)
+    size = own.agg(F.min_by(F.size("vec"), "id")).first()[0]
+    if size is None or count <= 0:
+        return spark.createDataFrame([], schema)
+    own = own.filter(F.size("vec") == size)
+
+    def farthest(points: np.ndarray, chosen: list[int]):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                free = ~np.isin(ids, chosen)
+                if not free.any():
+                    continue
+                ids, m = ids[free], m[free]
+                far = (1.0 - m @ points.T).min(1)
+                k = np.lexsort((ids, -far))[0]
+                if best is None or (-far[k], ids[k]) < best[:2]:
+                    best = -far[k], ids[k], m[k].tolist()
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([int(best[1])], pa.int64()), pa.array([float(-best[0])], pa.float64()), pa.array([best[2]], pa.list_(pa.float64()))], names=["id", "far", "vec"])
+
+        each = own.mapInArrow(rows, "id bigint, far double, vec array<double>")
+        return each.agg(F.max_by(F.struct("id", "far", "vec"), F.struct("far", -F.col("id"))).alias("m")).first()["m"]
+
+    # the first is the farthest from the middle, each next one from those chosen
+    points, out = np.array([centroid(own).first()[0]]), []
+    while len(out) < count and (best := farthest(points, [i for _, i, _ in out])):
+        points = np.array([best["vec"]]) if not out else np.vstack((points, best["vec"]))
+        out.append((len(out) + 1, best["id"], max(0.0, best["far"]) if out else best["far"]))
+    return spark.createDataFrame(out, schema)
 
 
 def first_rows(rows: DataFrame, limit: int, pos: str = "pos") -> DataFrame:

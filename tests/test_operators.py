@@ -193,3 +193,20 @@ def test_run_state_stream(spark, tmp_path):
     assert {(r["idx"], r["status"]) for r in got.collect()} == {(1, "completed"), (2, "completed")}
     assert compose.state_counts(got).first()["objects"] == 8
     assert compose.pending(spark.range(4).withColumnRenamed("id", "idx"), got).count() == 2
+
+
+def test_diverse_subset_takes_every_vector(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(5200, 6))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[5100] = -10 * m.mean(0) / np.linalg.norm(m.mean(0))  # the farthest by far, beyond any prefix of 5000
+    df = spark.createDataFrame([*((i, v) for i, v in enumerate(m.tolist())), (9000, None), (9001, [1.0])], "id bigint, vec array<double>").repartition(5)
+    mid = m.mean(0) / np.linalg.norm(m.mean(0))
+    want = [int(np.argmin(m @ mid))]
+    while len(want) < 8:
+        far = (1 - m @ m[want].T).min(1)
+        far[want] = -np.inf
+        want.append(int(np.argmax(far)))
+    got = sorted(similarity.select_diverse(df, 8).collect())
+    assert [r["id"] for r in got] == want and want[0] == 5100 and [r["rank"] for r in got] == list(range(1, 9))
+    assert similarity.select_diverse(df, 8, 5000).filter("id >= 5000").isEmpty() and similarity.select_diverse(df.limit(0), 8).isEmpty()
