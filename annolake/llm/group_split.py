@@ -8,8 +8,8 @@ sizes with their multiplicities; the rest is train.
 
 Scale: vertices are longs; the keys' stars are pre-aggregated minima, so a key that holds any share
 of the records adds one edge per record and is never collected. Only the table of distinct sizes
-(at most about the square root of twice the number of records) goes to the driver, where totals
-above ``MAX_BITS`` are counted in coarser units. The wanted number of components of a size is taken
+(at most about the square root of twice the number of records) goes to the driver; the totals are
+exact at every size. The wanted number of components of a size is taken
 by a two-level rank (bucket counts, then places in the bucket), never by one sort of the size.
 
 Defined results: a null or blank background links nothing; an image whose plan does not exist, or
@@ -25,7 +25,7 @@ from annolake.llm.capture import split_of
 from annolake.operators.graph import components, star_edges
 from annolake.session import checkpoint
 
-MAX_BITS = 1 << 22
+NEAR_BITS = 1 << 22
 RATIOS = {"val": 0.1, "test": 0.1}
 
 
@@ -38,33 +38,74 @@ def background_name(c: Column) -> Column:
     return F.when(F.length(x) > 0, x)
 
 
-def closest_counts(sizes: dict[int, int], target: float) -> dict[int, int]:
-    """How many components of each size make the total closest to ``target`` (the smaller on ties)."""
-    unit = max(1, -(-int(sum(s * n for s, n in sizes.items())) // MAX_BITS))
-    goal = target / unit
-    items: list[tuple[int, int]] = []  # (size, number) in powers of two, so that any number can be made
+def _in_powers(sizes: dict[int, int]) -> list[tuple[int, int]]:
+    """(size, number) in powers of two, so that any number up to the given one can be made."""
+    items: list[tuple[int, int]] = []
     for s, n in sorted(sizes.items()):
         k = 1
         while n > 0:
             items.append((s, min(k, n)))
             n -= k
             k *= 2
-    keep = (1 << (int(2 * goal) + 2)) - 1
-    reach = [1]
+    return items
+
+
+def _reach(items: list[tuple[int, int]], bits: int, keep: int) -> int:
     for s, k in items:
-        reach.append((reach[-1] | reach[-1] << max(1, s * k // unit)) & keep)
-    down = reach[-1] & ((1 << (int(goal) + 1)) - 1)
-    lo = down.bit_length() - 1
-    up = reach[-1] >> (int(goal) + 1)
+        bits |= bits << (s * k) & keep
+    return bits
+
+
+def _trace(items: list[tuple[int, int]], bits: int, total: int, keep: int, out: dict[int, int]) -> int:
+    """Notes the items that make ``total`` and gives what was there before them. Bitsets are built
+    again by halves, so that only as many as the logarithm of the items stand in memory."""
+    if not items:
+        return total
+    if len(items) == 1:
+        s, k = items[0]
+        if bits >> total & 1:
+            return total
+        out[s] = out.get(s, 0) + k
+        return total - s * k
+    mid = len(items) // 2
+    total = _trace(items[mid:], _reach(items[:mid], bits, keep), total, keep, out)
+    return _trace(items[:mid], bits, total, keep, out)
+
+
+def _subset_sum(sizes: dict[int, int], goal: float) -> tuple[int, dict[int, int]]:
+    """The reachable total closest to the goal, the smaller on ties, and the numbers that make it."""
+    items = _in_powers(sizes)
+    keep = (1 << (int(2 * goal) + 2)) - 1
+    reach = _reach(items, 1, keep)
+    lo = (reach & ((1 << (int(goal) + 1)) - 1)).bit_length() - 1
+    up = reach >> (int(goal) + 1)
     hi = int(goal) + 1 + ((up & -up).bit_length() - 1) if up else None
     total = hi if hi is not None and hi - goal < goal - lo else lo
     out: dict[int, int] = {}
-    for i in range(len(items) - 1, -1, -1):
-        s, k = items[i]
-        if not reach[i] >> total & 1:
-            total -= max(1, s * k // unit)
-            out[s] = out.get(s, 0) + k
-    return out
+    _trace(items, 1, total, keep, out)
+    return total, out
+
+
+def closest_counts(sizes: dict[int, int], target: float, near_bits: int = NEAR_BITS) -> dict[int, int]:
+    """How many components of each size make the total closest to ``target`` (the smaller on ties).
+
+    Large targets are first filled, largest sizes first, up to ``near_bits`` records, and the bitsets
+    place the rest; a total that meets the target to the nearest whole number cannot be bettered. Where
+    none does, the bitsets run over the whole target."""
+    goal = max(0.0, target)
+    useful = {s: n for s, n in sizes.items() if s <= 2 * goal and n > 0}  # a larger one is worse than none
+    taken: dict[int, int] = {}
+    if 2 * goal > near_bits:
+        rest = goal
+        for s, n in sorted(useful.items(), reverse=True):
+            k = min(n, max(0, int((rest - near_bits // 2) // s)))
+            if k:
+                taken[s] = k
+                rest -= s * k
+        total, more = _subset_sum({s: n - taken.get(s, 0) for s, n in useful.items() if s <= 2 * rest}, rest) if 2 * rest <= 2 * near_bits else (0, {})
+        if abs(total - rest) <= abs(goal - round(goal)) + 1e-6:
+            return {s: k for s in useful if (k := taken.get(s, 0) + more.get(s, 0))}
+    return _subset_sum(useful, goal)[1]
 
 
 def _ranked(comps: DataFrame, buckets: int = 1024) -> DataFrame:
