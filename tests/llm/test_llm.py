@@ -94,13 +94,48 @@ def test_history_against_brute_force(spark, hot):
     assert history_dedup.reject_over_history(df.filter("batch_no = 0")).count() == 0
 
 
+def test_history_index_is_kept_and_only_grows(spark, tmp_path):
+    """Two calls on one index: the second takes the new batches only and finds what one call finds."""
+    df = spark.createDataFrame(images(random.Random(21), hot=90), SCHEMA)
+    want = {r["image_id"] for r in history_dedup.reject_over_history(df).collect()}
+    path = f"file://{tmp_path}/index"
+    first = {r["image_id"] for r in history_dedup.reject_over_history(df.filter("batch_no < 2"), path).collect()}
+    index = history_dedup.HistoryIndex(spark, path)
+    n = {b: index.postings().filter(F.col("batch") == b).count() for b in (0, 1)}
+    second = {r["image_id"] for r in history_dedup.reject_over_history(df, path).collect()}
+    assert first | second == want and not first & second and index.done() == [0, 1, 2, 3]
+    assert n == {b: index.postings().filter(F.col("batch") == b).count() for b in (0, 1)} and min(n.values()) > 0
+    assert history_dedup.reject_over_history(df, path).count() == 0
+
+
+def test_history_with_a_piece_in_most_ids(spark):
+    """Pieces shared by most ids of later batches only, many buckets, every place of an edit."""
+    rng = random.Random(22)
+    base = ["7k2m" + new_id(rng)[4:] for _ in range(60)]
+    old = [(i, None, None, f"a_{x}", None, None, 0, 0) for i, x in enumerate(base[:30])]
+    new = []
+    for x in base:
+        for k in range(14):
+            y = rng.choice([x[:k] + x[k + 1 :], x[:k] + rng.choice(AL) + x[k + 1 :], x[:k] + rng.choice(AL) + x[k:]])
+            if sum(c.isdigit() for c in y) >= 4 and sum(c.isalpha() for c in y) >= 4:
+                new.append((1000 + len(new), None, None, f"b_{y}", None, None, 1 + k % 2, 0))
+    df = spark.createDataFrame(old + new, SCHEMA)
+    taken, want = [], set()
+    for r in sorted(keys_of(df), key=lambda r: (r.batch_no, r.image_id)):
+        if r.batch_no == 0 or not any(same(r, t) for t in taken):
+            taken.append(r)
+        else:
+            want.add(r.image_id)
+    assert {r["image_id"] for r in history_dedup.reject_over_history(df).collect()} == want and len(want) > 400
+
+
 def test_overlaps_against_brute_force(spark):
     df = spark.createDataFrame(images(random.Random(5), hot=60), SCHEMA).withColumn("perm", F.lit("clash"))
     k = keys_of(df)
     tr, ev = [r for r in k if r.sp == "train"], [r for r in k if r.sp in ("val", "test")]
     want = {(a.image_id, b.image_id) for a in tr for b in ev if same(a, b)}
     got = [(r["train_id"], r["eval_id"]) for r in split_overlap.overlaps(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 400
     assert split_overlap.overlaps(df.filter("split = 'val'")).count() == 0
     assert split_overlap.overlap_counts(split_overlap.overlaps(df.limit(0))).count() == 0
 
@@ -143,12 +178,13 @@ def test_grouped_split(spark):
     assert group_split.assign(empty).count() == 0
 
 
-def test_closest_subset_sums():
+@pytest.mark.parametrize("near", [group_split.NEAR_BITS, 16, 2])
+def test_closest_subset_sums(near):
     rng = random.Random(3)
     for _ in range(60):
         sizes = {rng.randrange(1, 40): rng.randrange(1, 5) for _ in range(4)}
         target = rng.random() * sum(s * n for s, n in sizes.items())
-        take = group_split.closest_counts(sizes, target)
+        take = group_split.closest_counts(sizes, target, near)
         sums = {0}
         for s, n in sizes.items():
             sums = {x + s * k for x in sums for k in range(n + 1)}
@@ -159,6 +195,8 @@ def test_closest_subset_sums():
 TEXTS = [
     None, "", "   ", "hello world", "don't  stop\n\n now", "naïve façade 😀👷 ok", "运行记录 run_20250804_714802 重复", "﻿zero​width", "a" * 300, "<|endoftext|> x", "\x00\x01 tab\t", "1234567890 3.14e-5",
     "Überlappen zwei Kisten, gilt die vordere als vollständig.", "ÃberlÃ¤ppen", "x " * 3000, "word" * 50 + " end", "é́", "' 's 'RE 're",
+    "".join(random.Random(4).choice(string.ascii_letters + "+/") for _ in range(6000)),  # a blob without blanks
+    " ".join(f"zq{k}xv" + "qwzx"[k % 4] * (k % 7) for k in range(3500)),  # more words than a row holds
 ]
 
 
