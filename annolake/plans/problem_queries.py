@@ -16,6 +16,14 @@ def p1_union(spark, d):
     return schema_drift.tagged_union(table(spark, d, "scene_templates"))
 
 
+def p1_alternatives(spark, d):
+    return schema_drift.reported_alternatives(table(spark, d, "scene_templates"))
+
+
+def p1_unreadable(spark, d):
+    return schema_drift.unreadable(table(spark, d, "scene_templates"))
+
+
 def p1_table(spark, d):
     return schema_drift.consistent_table(table(spark, d, "scene_templates"))
 
@@ -55,8 +63,8 @@ def p6_shapes(spark, d):
 
 
 def p7_found(spark, d):
-    _, flagged = compaction.compact_fragments(table(spark, d, "task_fragments"), scratch(spark, "task_results"))
-    return compaction.superseded(flagged)
+    """The records that the table loses by its compaction."""
+    return compaction.superseded(*compaction.compact_fragments(table(spark, d, "task_fragments"), scratch(spark, "task_results")))
 
 
 def p7_compacted(spark, d):
@@ -64,7 +72,7 @@ def p7_compacted(spark, d):
     return t.read().select("run_id", "index_key", "ok", "stem", "objects", "error", "fragment_id", "rec_no")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_union, p1_table, p1_changes_by_month, p4_found, p4_counts, p6_found, p6_shapes, p7_found, p7_compacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_alternatives, p1_unreadable, p1_union, p1_table, p1_changes_by_month, p4_found, p4_counts, p6_found, p6_shapes, p7_found, p7_compacted)}
 
 _P4 = """
 WITH refs AS (
