@@ -1,16 +1,24 @@
 """Problem 1: documents whose schema drifts between files and over time.
 
-Tagged-union inference on Spark's VARIANT type. Every JSON path is tagged with the types it takes
-(``tag_paths``), the parallel schemas are fused into one union per path with the first time each
-alternative appeared (``tagged_union``), conflicting paths are split into typed branches plus one
-canonical value (``consistent_table``), and each file's deviation from a base layout is named
-(``changes``). Everything is narrow, JVM-side but for the walk of ``tag_paths``; the only shuffles are
-the partial aggregate of the fuse and the final distinct of changes.
+Tagged-union inference on Spark's VARIANT type. Every object that is compared (the top level, the
+variation of each instance) has a schema: its field names with the tags of their values. The parallel
+schemas of all files are fused (``fused``) into one union of alternatives, a row per path and tag with
+the file and time it first appeared in and what it is to the base layout (``alternatives``); each
+distinct schema is judged once by the alternatives of the union it holds, and a file's changes are
+those of its schemas (``changes``). ``tagged_union`` gives the union over every path at every depth
+(``tag_paths``); conflicting paths are split into typed branches plus one canonical value, all other
+fields kept, by ``consistent_table``.
+
+Scale: bodies are parsed once, narrow and JVM-side, into schemas written beside; what is shuffled is
+one row per task and distinct schema (a schema that most files share costs one row a task) and the
+changes found.
 
 Defined results for odd input: a null, empty, non-JSON or non-object body has no paths and no
-changes and shows up in ``unreadable``; a missing, null or non-object ``variation`` is an empty one;
-non-object entries of ``instances`` are skipped; repeated rows count once; columns of the input
-other than the four named are ignored, whatever their names.
+changes, shows up in ``unreadable`` and keeps a row with its reason in ``consistent_table``; of a key
+that an object repeats the last value counts (the session is told to read such objects); a missing,
+null or non-object ``variation`` is an empty one; non-object entries of ``instances`` are skipped;
+repeated rows count once; columns of the input other than the four named are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -24,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from annolake.session import scratch
+
 #: The field names of the base layout at the two levels that are compared.
 BASE_TOP = ("schema", "version", "canvas", "instances", "constraints", "parameters")
 BASE_VARIATION = (
@@ -44,6 +54,14 @@ TOP = Layout(BASE_TOP, {"schema": "string", "version": "integer"})
 VARIATION = Layout(BASE_VARIATION, {"cx_range": "number_pair"})
 
 
+#: The types of the base fields that are not watched; ``instances`` are the rows.
+TOP_TYPES = {"canvas": "json", "constraints": "json", "parameters": "json"}
+VARIATION_TYPES = {
+    "cy_range": "array<double>", "h_range": "array<double>", "angle_range": "array<double>", "enabled_probability": "double", "flip_probability": "double",
+    "same_class_random": "boolean", "allow_overlap": "boolean",
+}
+
+
 def _variant(c: Column) -> Column:
     return F.try_parse_json(c)
 
@@ -90,6 +108,7 @@ def _tagged(v: Column) -> Column:
 
 def parsed(df: DataFrame, body: str = "body") -> DataFrame:
     """Adds the variant column ``_doc``; null where the body is not a JSON object."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     v = _variant(F.col(body))
     return df.withColumn("_doc", v).withColumn(
         "_doc", F.when(F.schema_of_variant("_doc").startswith("OBJECT"), F.col("_doc"))
@@ -113,32 +132,47 @@ def unreadable(df: DataFrame, id_col: str = "template_id", body: str = "body") -
     )
 
 
-def _objects(df: DataFrame, id_col: str) -> DataFrame:
-    """One row per compared object: the top level, and the variation of every instance."""
+#: The paths of the two levels that are compared.
+LEVELS = {"$": TOP, "$.instances[].variation": VARIATION}
+
+
+def _objects(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., sig, path, fields): one row per compared object, ``sig`` standing for its schema."""
     inst = F.filter(
         F.coalesce(F.try_variant_get("_doc", "$.instances", "array<variant>"), F.expr("cast(array() as array<variant>)")),
         lambda x: F.schema_of_variant(x).startswith("OBJECT"),
     )
-    top = F.struct(F.lit("top").alias("level"), _tagged(F.col("_doc")).alias("fields"))
-    var = F.transform(
-        inst,
-        lambda x: F.struct(
-            F.lit("variation").alias("level"), _tagged(F.try_variant_get(x, "$.variation", "variant")).alias("fields")
-        ),
-    )
-    return (
-        df.filter(F.col("_doc").isNotNull())
-        .select(id_col, F.explode(F.concat(F.array(top), var)).alias("o"))
-        .select(id_col, "o.level", "o.fields")
+    top, inner = LEVELS
+    objects = F.concat(
+        F.array(F.struct(F.lit(top).alias("path"), F.array_sort(_tagged(F.col("_doc"))).alias("fields"))),
+        F.transform(inst, lambda x: F.struct(F.lit(inner).alias("path"), F.array_sort(_tagged(F.try_variant_get(x, "$.variation", "variant"))).alias("fields"))),
     )
+    o = df.filter(F.col("_doc").isNotNull()).select(*keep, F.explode(F.array_distinct(objects)).alias("o"))
+    return o.select(*keep, F.xxhash64("o.path", "o.fields").alias("sig"), "o.path", "o.fields")
 
 
-def _named(name: str):
-    return lambda f: f["name"] == name
+def fused(objects: DataFrame, id_col: str, at: str | None = None) -> DataFrame:
+    """(sig, path, fields, n_files, first_seen, first_file): the distinct schemas of all objects."""
+    first = F.struct(F.col(at) if at else F.lit(None).cast("timestamp").alias("at"), F.col(id_col))
+    return objects.groupBy("sig").agg(
+        F.first("path").alias("path"), F.first("fields").alias("fields"), F.count(F.lit(1)).alias("n_files"), F.min(first[at or "at"]).alias("first_seen"), F.min_by(id_col, first).alias("first_file")
+    )
 
 
-def _tag_is(want: str):
-    return lambda f: f["tag"] == want
+def alternatives(schemas: DataFrame) -> DataFrame:
+    """The union: (path, name, tag, n_schemas, first_seen, first_file, role) of every alternative a
+    field takes. Role to the base layout: ``base``; ``null`` or ``retyped`` for another tag of a
+    watched field; ``new`` for a field the layout does not have, ``stand_in`` if its tag is that of a
+    watched field, which it may then stand in for."""
+    each = schemas.select("path", "first_seen", "first_file", F.explode("fields").alias("f")).select("path", "first_seen", "first_file", "f.name", "f.tag")
+    union = each.groupBy("path", "name", "tag").agg(F.count(F.lit(1)).alias("n_schemas"), F.min("first_seen").alias("first_seen"), F.min_by("first_file", F.struct("first_seen", "first_file")).alias("first_file"))
+    role = F.lit(None).cast("string")
+    for path, layout in LEVELS.items():
+        known = F.when(~F.col("name").isin(*layout.known), F.when(F.col("tag").isin(*layout.watched.values()), "stand_in").otherwise("new"))
+        for name, want in layout.watched.items():
+            known = known.when(F.col("name") == name, F.when(F.col("tag") == want, "base").when(F.col("tag") == "null", "null").otherwise("retyped"))
+        role = F.when(F.col("path") == path, known.otherwise("base")).otherwise(role)
+    return union.withColumn("role", role)
 
 
 def _unlike(key: Column, name: str) -> Column:
@@ -148,47 +182,66 @@ def _unlike(key: Column, name: str) -> Column:
     return F.struct(apart.alias("apart"), F.levenshtein(folded, F.lit(base)).alias("d"), key.alias("name"))
 
 
-def _by_distance(name: str):
+def _named(name: str):
+    return lambda f: f["name"] == name
+
+
+def _stands_in(want: str):
+    return lambda f: (f["role"] == "stand_in") & (f["tag"] == want)
+
+
+def _by_likeness(name: str):
     return lambda f: _unlike(f["name"], name)
 
 
-def _object_changes(fields: Column, layout: Layout) -> Column:
-    """array<struct<field_name, change_kind>> of one object against its layout."""
-    known = F.array(*map(F.lit, layout.known))
-    unknown = F.filter(fields, lambda f: ~F.array_contains(known, f["name"]))
+def _schema_changes(fields: Column, layout: Layout) -> Column:
+    """array<struct<field_name, change_kind>> of one schema (name, tag, role) against its layout."""
+    unknown = F.filter(fields, lambda f: f["role"].isin("new", "stand_in"))
     parts, used = [], []
     for name, want in layout.watched.items():
-        own = F.filter(fields, _named(name))
-        absent = F.size(own) == 0
+        role = F.try_element_at(F.filter(fields, _named(name)), F.lit(1))["role"]
         # of several candidates the one closest in name is the renamed field; the others are added
-        candidates = F.array_sort(
-            F.transform(
-                F.filter(unknown, _tag_is(want)),
-                _by_distance(name),
-            )
-        )
-        renamed = absent & (F.size(candidates) > 0)
+        candidates = F.array_sort(F.transform(F.filter(unknown, _stands_in(want)), _by_likeness(name)))
+        renamed = role.isNull() & (F.size(candidates) > 0)
         used.append(F.when(renamed, F.try_element_at(candidates, F.lit(1))["name"]))
-        own_tag = F.try_element_at(own, F.lit(1))["tag"]
-        kind = (
-            F.when(renamed, "renamed")
-            .when(absent | (own_tag == "null"), "removed")
-            .when(own_tag != want, "retyped")
-        )
+        kind = F.when(renamed, "renamed").when(role.isNull() | (role == "null"), "removed").when(role == "retyped", "retyped")
         parts.append(F.struct(F.lit(name).alias("field_name"), kind.alias("change_kind")))
     taken = F.array_compact(F.array(*used))
-    added = F.transform(
-        F.filter(unknown, lambda f: ~F.array_contains(taken, f["name"])),
-        lambda f: F.struct(f["name"].alias("field_name"), F.lit("added").alias("change_kind")),
-    )
+    added = F.transform(F.filter(unknown, lambda f: ~F.array_contains(taken, f["name"])), lambda f: F.struct(f["name"].alias("field_name"), F.lit("added").alias("change_kind")))
     return F.concat(F.filter(F.array(*parts), lambda p: p["change_kind"].isNotNull()), added)
 
 
-def changes(df: DataFrame, id_col: str = "template_id", body: str = "body", top: Layout = TOP, variation: Layout = VARIATION) -> DataFrame:
+def _written_objects(df: DataFrame, id_col: str, body: str, at: str | None) -> DataFrame:
+    """The compared objects of all files, parsed once and written beside."""
+    spark, side = df.sparkSession, scratch(df.sparkSession, "schemas")
+    keep = [id_col, *([at] if at else [])]
+    o = _objects(parsed(df.select(*keep, body), body), keep)
+    o.write.parquet(side)
+    return spark.read.schema(o.schema).parquet(side)
+
+
+def schema_changes(schemas: DataFrame) -> DataFrame:
+    """(sig, changes) of the schemas that deviate, judged by the union's alternatives."""
+    union = alternatives(schemas).select("path", "name", "tag", "role")
+    each = schemas.select("sig", "path", F.explode("fields").alias("f")).select("sig", "path", "f.name", "f.tag")
+    own = each.join(union, ["path", "name", "tag"]).groupBy("sig").agg(F.collect_list(F.struct("name", "tag", "role")).alias("fields"))
+    # an object without any field has no alternative and lacks all of the layout
+    judged = schemas.select("sig", "path").join(own, "sig", "left").withColumn("fields", F.coalesce("fields", F.expr("cast(array() as array<struct<name:string,tag:string,role:string>>)")))
+    (top, a), (_, b) = LEVELS.items()
+    c = F.when(F.col("path") == top, _schema_changes(F.col("fields"), a)).otherwise(_schema_changes(F.col("fields"), b))
+    return judged.select("sig", c.alias("changes")).filter(F.size("changes") > 0)
+
+
+def changes(df: DataFrame, id_col: str = "template_id", body: str = "body") -> DataFrame:
     """(id, field_name, change_kind): each change of a file against the base layout, once."""
-    o = _objects(parsed(df.select(id_col, body), body), id_col)
-    c = F.when(F.col("level") == "top", _object_changes(F.col("fields"), top)).otherwise(_object_changes(F.col("fields"), variation))
-    return o.select(id_col, F.explode(c).alias("c")).select(id_col, "c.field_name", "c.change_kind").distinct()
+    o = _written_objects(df, id_col, body, None)
+    found = o.select(id_col, "sig").join(schema_changes(fused(o, id_col)), "sig")
+    return found.select(id_col, F.explode("changes").alias("c")).select(id_col, "c.field_name", "c.change_kind").distinct()
+
+
+def reported_alternatives(df: DataFrame, id_col: str = "template_id", at: str = "written_at", body: str = "body") -> DataFrame:
+    """The alternatives of the two compared levels and when each appeared (``alternatives``)."""
+    return alternatives(fused(_written_objects(df, id_col, body, at), id_col, at))
 
 
 def _tag_of(v: object) -> str:
@@ -252,15 +305,25 @@ def tagged_union(df: DataFrame, id_col: str = "template_id", at: str = "written_
     )
 
 
+def _rest(v: Column, known: tuple[str, ...]) -> Column:
+    """The fields of an object that the layout does not have, as JSON text by name."""
+    extra = F.filter(_entries(v), lambda e: ~e["key"].isin(*known))
+    return F.map_from_entries(F.transform(extra, lambda e: F.struct(e["key"], F.to_json(e["value"]))))
+
+
 def consistent_table(df: DataFrame, id_col: str = "template_id", body: str = "body") -> DataFrame:
     """One row per file and instance with typed branches and the canonical value of each watched
     field: ``schema`` (text, first text in a list or object), ``version`` (whole number, ``v2``,
     ``{"major": 2}``, ``[2, 0]``) and ``cx_range`` ([low, high] from a pair of numbers or numeric
     strings, ``"a..b"``, ``{"min", "max"}``, a single number as both ends). A renamed field is read
-    under its base name. Files with no instances keep one row with a null ``instance_no``."""
-    p = parsed(df.select(id_col, body).dropDuplicates([id_col]), body).filter(F.col("_doc").isNotNull())
+    under its base name. The other base fields come typed where they fit, and as they stand in
+    ``<name>_other`` where not; fields unknown to the layout by name in ``extra`` and
+    ``variation_extra``. Files with no instances keep one row with a null ``instance_no``, unreadable
+    ones one with the reason in ``unreadable``."""
+    files = parsed(df.select(id_col, body).dropDuplicates([id_col]), body)
+    why = F.when(F.col("_doc").isNotNull(), None).when(F.col(body).isNull(), "null").when(F.trim(body) == "", "empty").when(_variant(F.col(body)).isNull(), "not_json").otherwise("not_an_object")
     inst = F.coalesce(F.try_variant_get("_doc", "$.instances", "array<variant>"), F.expr("cast(array() as array<variant>)"))
-    p = p.select(id_col, "_doc", F.posexplode_outer(inst).alias("instance_no", "_inst"))
+    p = files.select(id_col, "_doc", why.alias("unreadable"), F.posexplode_outer(inst).alias("instance_no", "_inst"))
     p = p.withColumn("_var", F.try_variant_get("_inst", "$.variation", "variant"))
 
     def pick(v: Column, name: str, want: str, layout: Layout) -> Column:
@@ -293,6 +356,19 @@ def consistent_table(df: DataFrame, id_col: str = "template_id", body: str = "bo
         F.when(F.size(parts) == 2, F.expr("try_cast(element_at(split(coalesce(try_variant_get(_c, '$', 'string'), ''), '[.][.]'), -1) as double)")),
     )
     st, vt = tag(F.col("_s")), tag(F.col("_v"))
+
+    def branches(v: str, types: dict[str, str]) -> list[Column]:
+        """A typed branch of each field, and what does not fit as JSON text."""
+        out = []
+        for name, kind in types.items():
+            x = F.try_variant_get(v, f"$.{name}", "variant")
+            own = F.to_json(x) if kind == "json" else F.try_variant_get(x, "$", kind)
+            fits = {"json": F.lit(True), "array<double>": tag(x) == "number_pair", "double": tag(x).isin("integer", "number"), "boolean": tag(x) == "boolean"}[kind]
+            out.append(F.when(fits, own).alias(name))
+            if kind != "json":
+                out.append(F.when(~fits & (tag(x) != "null"), F.to_json(x)).alias(f"{name}_other"))
+        return out
+
     return p.select(
         id_col,
         F.col("instance_no"),
@@ -308,4 +384,9 @@ def consistent_table(df: DataFrame, id_col: str = "template_id", body: str = "bo
         F.when(tag(F.col("_c")) == "number_pair", F.try_variant_get("_c", "$", "array<double>")).alias("cx_range_pair"),
         F.when(~tag(F.col("_c")).isin("number_pair", "null"), F.to_json("_c")).alias("cx_range_other"),
         F.when(low.isNotNull() & high.isNotNull(), F.array(low, high)).alias("cx_range"),
+        *branches("_doc", TOP_TYPES),
+        *branches("_var", VARIATION_TYPES),
+        _rest(F.col("_doc"), BASE_TOP).alias("extra"),
+        _rest(F.col("_var"), BASE_VARIATION).alias("variation_extra"),
+        "unreadable",
     )
