@@ -51,7 +51,24 @@ def test_schema_changes(spark):
     assert got == {(i, *c) for i, (_, cs) in enumerate(CASES) for c in cs}
     bad = {r["template_id"]: r["reason"] for r in schema_drift.unreadable(df).collect()}
     assert bad == {90: "null", 91: "empty", 92: "not_an_object", 93: "not_json"}
-    assert schema_drift.changes(df.limit(0)).count() == 0
+    assert schema_drift.changes(df.limit(0)).count() == 0 == schema_drift.reported_alternatives(df.withColumn("written_at", F.lit(T0)).limit(0)).count()
+
+
+def test_a_repeated_key_counts_by_its_last_value(spark):
+    df = spark.createDataFrame([(1, '{"version":1,"version":"2","schema":"s","zz":1,"zz":2}'), (2, "{}"), (3, '{"instances":[{"variation":{}}, 5, null]}')], "template_id bigint, body string")
+    got = {tuple(r) for r in schema_drift.changes(df).collect()}
+    gone = {(i, n, "removed") for i in (2, 3) for n in ("schema", "version")}
+    assert got == {(1, "version", "retyped"), (1, "zz", "added"), (3, "cx_range", "removed")} | gone and schema_drift.unreadable(df).count() == 0
+
+
+def test_alternatives_of_the_union(spark):
+    docs = [body(), body(version="2"), body(version=..., ver=3), body(instances=var(cx_range=None, mirror=True)), body(version="4")]
+    df = spark.createDataFrame([(i, json.dumps(b), T0 + timedelta(days=i)) for i, b in enumerate(docs)], "template_id bigint, body string, written_at timestamp")
+    u = {(r["path"], r["name"], r["tag"]): r for r in schema_drift.reported_alternatives(df).collect()}
+    v = "$.instances[].variation"
+    assert u["$", "version", "integer"]["role"] == "base" and u["$", "version", "string"]["role"] == "retyped" and u["$", "version", "string"]["first_file"] == 1
+    assert u["$", "ver", "integer"]["role"] == "stand_in" and u[v, "cx_range", "null"]["role"] == "null" and u[v, "mirror", "boolean"]["role"] == "new"
+    assert u[v, "mirror", "boolean"]["first_seen"] .replace(tzinfo=UTC) == T0 + timedelta(days=3)
 
 
 def test_consistent_table_and_union(spark):
@@ -61,6 +78,10 @@ def test_consistent_table_and_union(spark):
     assert [t[i]["version"] for i in range(3)] == [3, 4, 5]
     assert t[3]["cx_range"] == [0.1, 0.3] and t[4]["cx_range"] == [0.2, 0.4] and t[0]["cx_range"] == [0.1, 0.2]
     assert t[5]["schema"] == "x/y" and t[6]["schema"] == "q"
+    more = [json.dumps(body(instances=var(cy_range="?", h_range=[1, 2], mirror=True), notes="n")), None, "{oops"]
+    m = {r["template_id"]: r for r in schema_drift.consistent_table(spark.createDataFrame(list(enumerate(more)), "template_id bigint, body string")).collect()}
+    assert m[0]["cy_range"] is None and m[0]["cy_range_other"] == '"?"' and m[0]["h_range"] == [1.0, 2.0] and m[0]["extra"] == {"notes": '"n"'}
+    assert m[0]["variation_extra"] == {"mirror": "true"} and m[0]["unreadable"] is None and (m[1]["unreadable"], m[2]["unreadable"]) == ("null", "not_json")
     u = {(r["path"], r["tag"]): r for r in schema_drift.tagged_union(df).collect()}
     assert u["$.version", "object"]["first_file"] == 0 and u["$.version", "string"]["n_files"] == 1
     assert u["$.instances[].variation.cx_range", "number_pair"]["n_files"] == 5
@@ -98,8 +119,8 @@ def brute_orphans(refs, parents):
     return out
 
 
-@pytest.mark.parametrize("keys", [0, 10**9])
-def test_orphans_against_brute_force(spark, keys):
+@pytest.mark.parametrize("size", [16, references.BLOCK])
+def test_orphans_against_brute_force(spark, size):
     rng = random.Random(5)
     at = lambda: T0 + timedelta(days=rng.randrange(60))
     parents = []
@@ -110,7 +131,7 @@ def test_orphans_against_brute_force(spark, keys):
     refs = [(i, rng.choice([None, *range(-6, 100), 5000, 5002, *[7] * 60]), at() if rng.random() < 0.95 else None) for i in range(900)]
     r = spark.createDataFrame(refs + refs[:50], "id bigint, image_id bigint, added_at timestamp").withColumn("runs", F.lit("clash"))
     p = spark.createDataFrame(parents + parents[:9], "id bigint, added_at timestamp, removed_at timestamp").withColumn("blk", F.lit("clash"))
-    got = [(x["id"], x["reason"]) for x in references.orphans(r, p, "id", "image_id", "added_at", size=16, broadcast_keys=keys).collect()]
+    got = [(x["id"], x["reason"]) for x in references.orphans(r, p, "id", "image_id", "added_at", size=size).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_orphans(refs, parents)
     assert {x["reason"] for x in references.orphans(r, p.limit(0), "id", "image_id", "added_at").collect()} == {"missing"}
     assert references.orphans(r.limit(0), p, "id", "image_id", "added_at").count() == 0
@@ -118,8 +139,10 @@ def test_orphans_against_brute_force(spark, keys):
 
 def test_runs_are_contiguous(spark):
     p = spark.createDataFrame([(k, T0, None) for k in (1, 2, 3, 7, 8, 40)], "id bigint, added_at timestamp, removed_at timestamp")
-    runs = sorted((x["run_start"], x["run_end"]) for r in references.parent_blocks(p, size=16).collect() for x in r["runs"])
-    assert runs == [(1, 3), (7, 8), (40, 40)]
+    runs = references.parent_runs(p.select(F.col("id").alias("k")), size=16)
+    assert sorted((r["run_start"], r["run_end"]) for r in runs.collect()) == [(1, 3), (7, 8), (40, 40)]
+    used = spark.createDataFrame([(k, "x") for k in (-5, 0, 1, 3, 4, 8, 9, 39, 40, 41, 4000)], "k bigint, note string")
+    assert {r["k"] for r in references.within_runs(used, runs, size=16).filter("known").collect()} == {1, 3, 8, 40}
 
 
 LINES = [
@@ -160,41 +183,58 @@ def test_compaction(spark):
         (8, "r", o(None) + o("x") + "{bad", T0), (9, "solo", o(5), T0), (9, "solo", o(5), T0), (10, "r", o(2), T0), (11, "r", o(2), T0),
     ]
     f = spark.createDataFrame(rows, "fragment_id bigint, run_id string, body string, modified_at timestamp").withColumn("n_bytes", F.lit(10)).withColumn("survives", F.lit("clash"))
-    t, flagged = compaction.compact_fragments(f, scratch(spark, "t"), max_small=0)
-    assert {tuple(r) for r in compaction.superseded(flagged).collect()} == {(1, 1), (2, 1), (5, 1), (7, 1), (10, 1)}
+    t, raw = compaction.compact_fragments(f, scratch(spark, "t"), max_small=0)
+    assert {tuple(r) for r in compaction.superseded(t, raw).collect()} == {(1, 1), (2, 1), (5, 1), (7, 1), (10, 1)}
     kept = [(r["run_id"], r["index_key"], r["fragment_id"]) for r in t.read().collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [("r", "1", 1), ("q", "1", 6), (None, "9", 7), ("r", None, 8), ("r", None, 8), ("r", None, 8), ("solo", "5", 9), ("r", "2", 11)]))
-    assert t.version() == 1
-    before = sorted(map(str, t.read().drop("run_id").collect()))
-    part = t.read().filter("run_id = 'q'")
-    side = scratch(spark, "side")
-    part.write.parquet(side)
-    assert t.rewrite(spark.read.parquet(side), 1, "again") == 2 and sorted(map(str, t.read().drop("run_id").collect())) == before
+    assert (raw, t.version()) == (1, 2) and t.read(1).count() == 14
+    before = sorted(map(str, t.read().collect()))
+    assert t.rewrite(t.read(), 2, "again") == 3 and sorted(map(str, t.read().collect())) == before
+    # a writer based on an old version is refused before it writes, and at its commit if another was faster
     with pytest.raises(compaction.Conflict):
-        t.rewrite(spark.read.parquet(side), 1, "late")
+        t.rewrite(t.read(), 2, "late")
     with pytest.raises(compaction.Conflict):
-        t._claim(2, {})
+        t._commit(2, "late", [])
+    assert t.version() == 3 and sorted(map(str, t.read().collect())) == before
+    empty, raw = compaction.compact_fragments(f.limit(0), scratch(spark, "e"))
+    assert empty.read().count() == 0 == compaction.superseded(empty, raw).count()
+
+
+def test_a_crash_leaves_the_version_as_it_was(spark):
+    f = spark.createDataFrame([(1, "r", json.dumps({"index": 1}), T0, 10)], "fragment_id bigint, run_id string, body string, modified_at timestamp, n_bytes bigint")
+    t, _ = compaction.compact_fragments(f, scratch(spark, "t"))
+    before, files = t.read().collect(), t.manifest()["entries"]
+    with pytest.raises(Exception, match="broken"):
+        t.rewrite(t.read().withColumn("stem", F.raise_error(F.lit("broken"))), t.version(), "crash")
+    assert t.read().collect() == before and t.manifest()["entries"] == files
+    assert t.rewrite(t.read(), t.version(), "after") == 3
 
 
-def test_compaction_keeps_untouched_runs(spark):
+def test_compaction_keeps_untouched_partitions(spark):
     o = lambda i: json.dumps({"index": i, "ok": True})
     rows = [(1, "one", o(1), 10), (2, "large", o(1), 5 << 20), (3, "large", o(2), 5 << 20), (4, "many", o(1), 10), (5, "many", o(2), 10), (6, None, o(1), 10), (7, "torn", o(1), 10), (8, "torn", o(1), 5 << 20)]
     f = lambda rows: spark.createDataFrame([(*r, T0) for r in rows], "fragment_id bigint, run_id string, body string, n_bytes bigint, modified_at timestamp")
     path = scratch(spark, "t")
-    t, _ = compaction.compact_fragments(f(rows), path)
+    t, _ = compaction.compact_fragments(f(rows), path, target_bytes=1 << 20)
     assert sorted(r["fragment_id"] for r in t.read().collect()) == [1, 2, 3, 4, 5, 6, 8]
-    files = {r["f"] for r in t.read().filter("run_id in ('one', 'large')").select(F.col("_metadata.file_path").alias("f")).collect()}
-    # a second round adds the new run and leaves the whole ones where they are
-    t, _ = compaction.compact_fragments(f([*rows, (9, "new", o(1), 10)]), path)
-    assert t.version() == 2 and sorted(r["fragment_id"] for r in t.read().collect()) == [1, 2, 3, 4, 5, 6, 8, 9]
-    assert files == {r["f"] for r in t.read().filter("run_id in ('one', 'large')").select(F.col("_metadata.file_path").alias("f")).collect()}
+    place = {r["run_id"]: r["part"] for r in t.read().collect()}
+    entry = {e["part"]: e for e in t.manifest()["entries"]}
+    assert len(entry) > 2 and all(e["files"] == 1 for e in entry.values())
+    # a second load rewrites the partition it falls into and leaves the others where they are
+    t, raw = compaction.compact_fragments(f([(9, "one", o(1), 10), (10, "one", o(2), 10)]), path, target_bytes=1 << 20)
+    assert t.version() == 4 and sorted(r["fragment_id"] for r in t.read().collect()) == [2, 3, 4, 5, 6, 8, 9, 10]
+    assert {tuple(r) for r in compaction.superseded(t, raw).collect()} == {(1, 1)}
+    now = {e["part"]: e for e in t.manifest()["entries"]}
+    assert {p for p in now if now[p] != entry[p]} == {place["one"]}
 
 
 def test_small_files_become_few(spark):
-    path = scratch(spark, "many")
-    spark.range(4000).select("id", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("part")).repartition(40).write.partitionBy("part").parquet(f"{path}/data")
-    t = compaction.SnapshotTable(spark, path, "part")
-    files = t.file_stats().agg(F.sum("files")).first()[0]
+    t = compaction.SnapshotTable(spark, scratch(spark, "many"), "part", "id bigint, part int")
+    t.append(spark.range(4000).select("id", (F.col("id") % 3).cast("int").alias("part")))
+    t.rewrite(t.read().repartition(40), 1, "in many files", {None})
+    assert sum(e["files"] for e in t.manifest()["entries"]) >= 100 and t.crowded(1) == {0, 1, 2}
     t.compact()
-    assert files >= 100 and t.file_stats().agg(F.sum("files")).first()[0] == 3
-    assert sorted(r[0] for r in t.read().select("id").collect()) == list(range(4000))
+    assert [e["files"] for e in t.manifest()["entries"]] == [1, 1, 1] and sorted(r[0] for r in t.read().select("id").collect()) == list(range(4000))
+    assert t.compact() == t.version() == 3
+    t.append(t.read().filter("part = 1").withColumn("id", F.col("id") + 10_000))
+    assert t.compact(target_bytes=1000) == 5 and {e["part"]: e["files"] > 1 for e in t.manifest()["entries"]} == {0: False, 1: True, 2: False}
