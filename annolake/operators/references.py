@@ -1,16 +1,17 @@
 """Problem 4: references to records that do not exist at the time of the reference.
 
-Sorted integer parent keys are compressed into contiguous runs (``parent_blocks``): one row per
-block of the key space with the runs of keys present in it and, by position in the run, when each
-key first appeared and from when on it is there for good. A reference is matched as-of to the
-preceding run start of its block; a key beyond that run's end is an orphan. References to keys that
-were removed at some time and are not settled by those two figures take an anti join against the
-parents' lifetimes, which only they enter.
-
-Scale: parents shrink to a row per 1024 keys; the block table is broadcast only when the counted
-number of keys keeps it under ``broadcast_keys``, else it is shuffled by block and AQE splits the
-hot blocks of the reference side (a key may hold any share of the references: they are never
-grouped or collected). Lifetimes are joined row by row, never collected per key.
+Sorted integer parent keys are compressed into contiguous runs (``parent_runs``). The distinct keys
+referred to are matched as-of to the preceding run start, by one sort per block of the key space, and
+a key beyond that run's end is missing. Of the others only those are looked into whose earliest
+reference lies before their parent stands for good: the references to these, and to the missing ones,
+are taken out of the table and judged by their own time; what the two times of a key do not settle
+takes an anti join against the parents' lifetimes.
+
+Scale: references are first combined to one row a key (map-side, so a key with any share of them is
+one row a task), parents to one row a key and to runs; the sorts see distinct keys only, at most
+``2 * BLOCK`` a block. The table of references is read twice, three columns of it, and shuffled never
+or only where the keys to be looked into, a table written before, are too many for the engine to
+broadcast; it then splits hot keys too. Lifetimes are joined row by row.
 
 Defined results: a null reference is no orphan; a reference without time can only be ``missing``; a
 parent row with a null ``added_at`` was never present; empty parent tables make every reference
@@ -19,71 +20,67 @@ parent row with a null ``added_at`` was never present; empty parent tables make
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolake.session import checkpoint
+from annolake.session import scratch
 
-BLOCK = 1024
-BROADCAST_KEYS = 1_000_000  # at about 40 bytes a key
+BLOCK = 1 << 16
 
 
 def _block(key: str, size: int):
     return F.expr(f"({key} - pmod({key}, {size})) div {size}")
 
 
-def parent_blocks(parent: DataFrame, key: str = "id", added: str = "added_at", removed: str = "removed_at", size: int = BLOCK) -> DataFrame:
-    """(blk, n, runs array<struct<run_start, run_end, at>>, first_added, open_from): ``at`` is the
-    place of the run's first key in the two arrays. At most ``size`` keys make a row."""
-    per_key = (
-        parent.select(F.col(key).cast("bigint").alias("k"), F.col(added).alias("a"), F.col(removed).alias("r"))
-        .filter(F.col("k").isNotNull())
-        .groupBy("k")
-        .agg(F.min("a").alias("first_added"), F.min(F.when(F.col("r").isNull(), F.col("a"))).alias("open_from"))
-    )
-    keys = per_key.groupBy(_block("k", size).alias("blk")).agg(F.array_sort(F.collect_list(F.struct("k", "first_added", "open_from"))).alias("ks"))
-    starts = F.filter(
-        F.transform("ks", lambda x, i: F.struct(x["k"].alias("run_start"), i.alias("at"))),
-        lambda s: (s["at"] == 0) | (F.get("ks", s["at"] - 1)["k"] != s["run_start"] - 1),
-    )
-    runs = F.transform(
-        "starts",
-        lambda s, i: F.struct(
-            s["run_start"].alias("run_start"),
-            (s["run_start"] + F.coalesce(F.get("starts", i + 1)["at"], F.size("ks")) - s["at"] - 1).alias("run_end"),
-            s["at"].alias("at"),
-        ),
-    )
-    return keys.withColumn("starts", starts).select(
-        "blk", F.size("ks").alias("n"), runs.alias("runs"), F.col("ks.first_added").alias("first_added"), F.col("ks.open_from").alias("open_from")
-    )
+def _lifetimes(parent: DataFrame, key: str, added: str, removed: str) -> DataFrame:
+    """(k, first_added, open_from): when each key first appeared, and from when on it is there for good."""
+    p = parent.select(F.col(key).cast("bigint").alias("k"), F.col(added).alias("a"), F.col(removed).alias("r")).filter(F.col("k").isNotNull())
+    return p.groupBy("k").agg(F.min("a").alias("first_added"), F.min(F.when(F.col("r").isNull(), F.col("a"))).alias("open_from"))
+
+
+def parent_runs(keys: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(blk, run_start, run_end): distinct keys (k) as runs without gaps, cut at the blocks' ends."""
+    b = keys.select("k", _block("k", size).alias("blk"))
+    run = F.col("k") - F.row_number().over(Window.partitionBy("blk").orderBy("k"))
+    return b.withColumn("run", run).groupBy("blk", "run").agg(F.min("k").alias("run_start"), F.max("k").alias("run_end")).drop("run")
+
+
+def within_runs(refs: DataFrame, runs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Adds ``known`` to distinct keys (k, ...): whether the run that starts at or before the key
+    reaches it."""
+    rest = [c for c in refs.columns if c != "k"]
+    marks = runs.select("blk", F.col("run_start").alias("k"), F.col("run_end"), F.lit(False).alias("is_ref"))
+    both = refs.withColumns({"blk": _block("k", size), "is_ref": F.lit(True)}).unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy("blk").orderBy("k", "is_ref").rowsBetween(Window.unboundedPreceding, 0)
+    asof = both.withColumn("end", F.last("run_end", ignorenulls=True).over(before))
+    return asof.filter("is_ref").select("k", *rest, F.coalesce(F.col("k") <= F.col("end"), F.lit(False)).alias("known"))
 
 
 def orphans(
-    refs: DataFrame, parent: DataFrame, ref_id: str, ref: str, at: str, key: str = "id", added: str = "added_at", removed: str = "removed_at",
-    size: int = BLOCK, broadcast_keys: int = BROADCAST_KEYS,
+    refs: DataFrame, parent: DataFrame, ref_id: str, ref: str, at: str, key: str = "id", added: str = "added_at", removed: str = "removed_at", size: int = BLOCK
 ) -> DataFrame:
     """(ref_id, at, reason) of the references that do not hold: missing, late or deleted."""
-    blocks = checkpoint(parent_blocks(parent, key, added, removed, size))
-    n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     r = refs.select(F.col(ref_id).alias("_id"), F.col(ref).cast("bigint").alias("_k"), F.col(at).alias("_t")).filter(F.col("_k").isNotNull())
-    joined = r.withColumn("blk", _block("_k", size)).join(F.broadcast(blocks) if n <= broadcast_keys else blocks, "blk", "left")
-    run = F.try_element_at(F.filter("runs", lambda x: x["run_start"] <= F.col("_k")), F.lit(-1))  # as-of: the preceding run start
-    j = joined.select("_id", "_k", "_t", run.alias("run"), "first_added", "open_from")
-    within = F.col("run").isNotNull() & (F.col("_k") <= F.col("run.run_end"))
-    pos = (F.col("run.at") + F.col("_k") - F.col("run.run_start")).cast("int")
-    first, open_from = F.get("first_added", pos), F.get("open_from", pos)
+    used = r.groupBy(F.col("_k").alias("k")).agg(F.min("_t").alias("earliest"))
+    lives = _lifetimes(parent, key, added, removed)
+    keys = within_runs(used, parent_runs(lives.select("k"), size), size)
+    # a key all of whose references come after it stands for good needs no further look
+    doubtful = keys.join(lives, "k", "left").filter(~F.col("known") | F.coalesce(F.col("earliest") < F.col("open_from"), F.col("earliest").isNotNull()))
+    # written, so that the engine knows its size before it plans the join
+    side = scratch(refs.sparkSession, "doubtful")
+    doubtful.select(F.col("k").alias("_k"), "known", "first_added", "open_from").write.parquet(side)
+    j = r.join(refs.sparkSession.read.schema("_k bigint, known boolean, first_added timestamp, open_from timestamp").parquet(side), "_k")
     state = (
-        F.when(~within, "missing")
-        .when(F.col("_t").isNull() | (F.col("_t") >= open_from), "present")
-        .when(F.col("_t") < first, "late")
+        F.when(~F.col("known"), "missing")
+        .when(F.col("_t").isNull() | (F.col("_t") >= F.col("open_from")), "present")
+        .when(F.col("_t") < F.col("first_added"), "late")
         .otherwise("unsettled")
     )
     settled = j.select("_id", "_k", "_t", state.alias("reason")).filter("reason <> 'present'")
-    lives = parent.select(F.col(key).cast("bigint").alias("lk"), F.col(added).alias("la"), F.col(removed).alias("lr")).filter("la < lr").distinct()
+    gone = parent.select(F.col(key).cast("bigint").alias("lk"), F.col(added).alias("la"), F.col(removed).alias("lr")).filter("la < lr").distinct()
     # one pass: a row is dropped if it is unsettled and some lifetime of its key covers its time
     out = settled.join(
-        lives, (F.col("_k") == F.col("lk")) & (F.col("la") <= F.col("_t")) & (F.col("_t") < F.col("lr")) & (F.col("reason") == "unsettled"), "left_anti"
+        gone, (F.col("_k") == F.col("lk")) & (F.col("la") <= F.col("_t")) & (F.col("_t") < F.col("lr")) & (F.col("reason") == "unsettled"), "left_anti"
     )
     return (
         out.select(F.col("_id").alias(ref_id), F.col("_t").alias(at), F.when(F.col("reason") == "unsettled", "deleted").otherwise(F.col("reason")).alias("reason"))
