@@ -1,7 +1,9 @@
 """Problem 10: personal information in free text, found and replaced by typed placeholders.
 
-Weak supervision. A scan proposes candidate spans of five kinds; regular expressions, gazetteers and
-context labelers vote on each (+1, 0, -1). The counts of the vote patterns over all documents go
+Weak supervision. A scan proposes candidate spans of five kinds by their form (addresses at a host,
+digit groups, number and street word, capitalised pairs, initials, runs of Chinese characters behind a
+family name), the same place in several extents where the form leaves them open; regular expressions,
+gazetteers and context labelers vote on each (+1, 0, -1), none of them can drop a name. The counts of the vote patterns over all documents go
 through expectation-maximisation (a two-class model with a reliability per labeler and vote), which
 yields the probability of each pattern. A logistic span classifier is then trained with these as soft
 labels on a bounded, hash-chosen sample (``SAMPLE`` spans) over the votes and the span's surroundings,
@@ -74,23 +76,24 @@ EMAIL = re.compile(
 )
 PHONE = re.compile(
     r"(?<![\w.@/\-+])(?<!\d )(?:\+\d{1,3}[ .\-/]?(?:\(\d{1,4}\)[ .\-/]?)?\d{1,5}(?:[ .\-/]{0,2}\d{2,8}){1,4}|00\d{1,3}[ .\-/](?:\d{1,5})(?:[ .\-/]\d{2,8}){1,4}|00(?:44|49|34|86|33|39)\d{8,11}|001\d{10}"
-    r"|\(\d{2,5}\)[ .\-/]?\d{3,8}(?:[ .\-/]\d{2,4}){0,3}|0\d{1,4}[ .\-/]\d{3,8}(?:[ .\-/]\d{2,6}){0,2}|07\d{9}|[2-9]\d{2}[ .\-/]\d{3}[ .\-/]\d{3,4}|[2-9]\d{2}[2-9]\d{6}|[6-9]\d{8}|1[3-9]\d{9})(?![\w]|[.\-/]\d)"
+    r"|\(\d{2,5}\)[ .\-/]?\d{3,8}(?:[ .\-/]\d{2,4}){0,3}|0\d{1,4}[ .\-/]\d{3,8}(?:[ .\-/]\d{2,6}){0,2}|0\d(?:[ .\-]\d{2}){4}|07\d{9}|[2-9]\d{2}[ .\-/]\d{3}[ .\-/]\d{3,4}|[2-9]\d{2}[2-9]\d{6}|[6-9]\d{8}|1[3-9]\d{9})(?![\w]|[.\-/]\d)"
 )
 IDNUM = re.compile(
     r"(?<![\w.@/\-+])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|\d{9}|[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Da-d]|[A-Za-z]{1,2}\d{7,8}|[A-Za-z]\d{2}[ .]?\d{3}[ .]?\d{3}"
     r"|\d{2} \d{3} \d{3} \d{3}|\d{11}|\d{2}\.\d{3}\.\d{3}-?[A-Za-z]|\d{8}-?[A-Za-z]|[XYZ]-?\d{7}-?[A-Z]|\d{17}[\dXx]|\d{6} \d{8} \d{3}[\dXx])(?![\w]|[.\-/]\d)"
 )
 ADDRESS = re.compile(
-    rf"(?<![\w./\-])\d{{1,5}}[A-Za-z]? (?:[A-ZÀ-Þ][{_L}']+ ){{1,3}}?(?i:{'|'.join(STREET_EN)})\b\.?"
+    rf"(?<![\w./\-])\d{{1,5}}[A-Za-z]? (?:(?!(?i:and|or|of|the|in|for|but|with|at|to|by) )[A-ZÀ-Þ][{_L}']+ ){{1,3}}?(?i:{'|'.join(STREET_EN)})\b\.?"
     rf"|{_B}[A-ZÀ-Þ][{_L}]*(?i:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)(?<!^) ?\d{{1,4}} ?[a-zA-Z]?(?![\w])"
     rf"|{_B}(?i:Calle|C/|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Camino|Ronda) ?(?:(?i:de|del|la|los|las|el) ){{0,2}}[A-ZÀ-Þ][{_L}]+(?: (?:(?i:de|del|la|los|las|el) ){{0,2}}[A-ZÀ-Þ][{_L}]+){{0,2}},? ?(?i:n\.?º? ?)?\d{{1,4}}[a-zA-Z]?(?![\w])"
+    rf"|(?<![\w./\-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?i:rue|avenue|boulevard|quai|allée|chemin|place|via|viale|piazza|rua) (?:(?:de|du|des|la|le|les|di|del|della|do|da|l'|d') ?){{0,2}}[A-ZÀ-Þ][{_L}']+(?:[ \-][A-ZÀ-Þ][{_L}']+){{0,2}}"
     r"|[一-鿿]{1,6}?(?:路|街|巷|道|弄|大道) ?\d{1,5} ?号"
 )
 NAMES = (  # each form is searched for on its own; where forms overlap, the classifier chooses
     re.compile(rf"{_N}(?i:{_G})(?: [A-Za-z]\.)? {_W}{_A}"),
     re.compile(rf"{_N}{_W}, ?(?:(?i:{_G})(?: [A-Z]\.)?(?![{_L}])|[A-Z]\.){_A}"),
     re.compile(rf"{_N}[A-Za-z]\. ?(?:[A-Za-z]\. ?)?{_W}{_A}"),
-    re.compile(rf"{_N}(?!(?:{'|'.join(NO_GIVEN)})\b)[A-ZÀ-Þ][{_L}]+ (?:[A-Z]\. )?(?:O'|Mc|Mac)?[A-ZÀ-Þ][{_L}]+{_A}"),
+    re.compile(rf"{_N}[A-ZÀ-Þ][{_L}]+ (?:[A-Z]\. )?(?:O'|Mc|Mac)?[A-ZÀ-Þ][{_L}]+{_A}"),
 )
 HAN_NAME = re.compile(rf"[{HAN_SURNAMES}][一-鿿]{{1,2}}")
 
@@ -150,23 +153,36 @@ def _votes(kind: str, t: str, a: int, b: int) -> tuple[int, ...]:
         no = -1 if _NOT["number"].search(before) else 0
         date = -1 if _DATE.match(s) else 0
         if kind == "phone":
-            return (_phone_forms(d, s), 1 if re.search(r"[+()/ .\-]", s) else 0, 1 if _CALLWORD.search(before) else ctx, -1 if _IDWORD.search(before) else 0, no, date, follow)
+            labelled = bool(_IDWORD.search(before))  # as an identity number: its form then says nothing for a phone
+            return (0 if labelled else _phone_forms(d, s), 1 if not labelled and re.search(r"[+()/ .\-]", s) else 0, 1 if _CALLWORD.search(before) else ctx, -1 if labelled else 0, no, date, follow)
         sure = 1 if re.match(r"\d{3}-\d{2}-\d{4}$|[A-Za-z]|\d{17}|\d{2}\.|\d{8}-?[A-Za-z]|\d{3} \d{2} \d{4}$|\d{2} \d{3} ", s) else 0
         return (sure, 1 if _IDWORD.search(before) or re.search(r"(?:reads|lists|no\.|id=) ?$", before) else ctx, -1 if _CALLWORD.search(before) else 0, no, date, follow)
     words = [w.lower() for w in re.findall(rf"[{_L}']+", s)]
     if kind == "address":
         han = "一" <= s[0] <= "鿿"
+        if han:
+            # the street's name starts behind a word of place or a mark, and has two or three characters
+            stem = re.match(r"[一-鿿]+?(?=(?:路|街|巷|道|弄|大道) ?\d)", s).group()
+            known = 1 if stem in HAN_STREETS else -1 if any(stem.endswith(x) for x in HAN_STREETS) or any((t[a - 1 : a] + stem).endswith(x) for x in HAN_STREETS) else 0
+            edge = -1 if stem[0] in "在到于至往是住址室着" else 1 if not before or not "一" <= before[-1] <= "鿿" or re.search(r"(?:在|到|于|至|往|是|为|住|址|室|写着)$", before) else -1
+            return (known, edge, ctx, follow, 0 if len(stem) == 2 else -1, 0)
         small = {"and", "of", "the", "in", "for", "but", "with"} & set(words)
-        site = -1 if any(f"{x} {y}" in " ".join(SITES) for x, y in zip(words, words[1:], strict=False)) else 0
+        site = -1 if any(f"{x} {y}" in " ".join(SITES) for x, y in zip(words, words[1:], strict=False)) or before.split()[-1:] and before.split()[-1].lower() in (*SITES, "camera", "column", "post") else 0
         return (1, 1 if (han and s[-1:] == "号") or words and words[0] in {"calle", "avda", "avenida", "plaza", "paseo"} or re.search(r"\.$|\d", s) else 0, ctx, follow, -1 if small else 0, site)
     if "一" <= s[0] <= "鿿":
-        gaz = 1 if all(c in HAN_GIVEN for c in s[1:]) else -1
-        return (gaz, 1 if s[0] in HAN_SURNAMES[:8] else 0, 1 if re.search(r"(?:找|联系|负责人 ?|复核人[：:]|，|,|。|^|\n|- )$", before) else 0, 1 if re.match(r"认为|收|，|。|（|\(|,|\s|$", after) else -1, 0, 0)
+        known = sum(c in HAN_GIVEN for c in s[1:])
+        gaz = 1 if known == len(s) - 1 else 0 if known else -1
+        left = 1 if re.search(r"(?:找|联系|负责人 ?|复核人[：:]|，|,|。|^|\n|- )$", before) else 0
+        # a third character that is usual in given names belongs to the name
+        more = -1 if len(s) == 2 and t[b : b + 1] in HAN_GIVEN and t[b : b + 1] else 0
+        return (gaz, 1 if s[0] in HAN_SURNAMES[:8] else 0, left, 1 if re.match(r"认为|收|，|。|（|\(|,|\s|$", after) else -1, more, 0, 0)
     first, family = _name_parts(s)
     given = 1 if re.fullmatch(_G, first, re.I) else 0 if re.match(r"[A-Za-z]\.", first) else -1
     shape = 1 if _SHAPE.fullmatch(family) and family.lower() not in ORDINARY else -1
     site = -1 if any(w in SITES for w in words if len(w) > 2) else 0
-    return (given, shape, ctx, follow, -1 if _NOT["name"].search(before) else 0, site)
+    # words that stand in lower case elsewhere in the text are no names, nor are words that open a sentence's order
+    usual = -1 if first in NO_GIVEN or any(f" {w} " in t for w in words if len(w) > 2) else 0
+    return (given, shape, ctx, follow, -1 if _NOT["name"].search(before) else 0, site, usual)
 
 
 def _features(kind: str, votes: tuple[int, ...], t: str, a: int, b: int) -> list[int]:
@@ -190,33 +206,25 @@ def candidates(t: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
             p = b
             if rx in NAMES:
                 first, family = _name_parts(m.group())
-                known, shaped = re.fullmatch(_G, first, re.I), _SHAPE.fullmatch(family)
-                if not shaped:
+                if not _SHAPE.fullmatch(family):
                     p = a + len(re.match(r"\S+", m.group()).group())
-                if "," in m.group() and not shaped or first[1:] == "." and first.islower() != family[:1].islower():
-                    continue
-                if rx is NAMES[3] and (known or not (_BEFORE["name"].search(t[max(0, a - 40) : a]) or _AFTER["name"].search(t[b : b + 16]))):
-                    continue
+                if rx is NAMES[3] and re.fullmatch(_G, first, re.I):
+                    continue  # the first form has it
+            spans = [(a, b)]
             if rx is ADDRESS and "一" <= t[a] <= "鿿":
-                body = re.match(r"([一-鿿]+?)(?=(?:路|街|巷|道|弄|大道) ?\d)", t[a:b])
-                head = body.group(1) if body else ""
-                a += max(0, len(head) - next((len(x) for x in HAN_STREETS if head.endswith(x)), 2))
+                head = re.match(r"([一-鿿]+?)(?=(?:路|街|巷|道|弄|大道) ?\d)", t[a:b]).group(1)
+                spans = [(b - (b - a) + max(0, len(head) - n), b) for n in sorted({min(len(head), x) for x in (1, 2, 3, 4)})]
             if rx is HAN_NAME:
-                # the longer form where the third character is a usual one
-                b = a + 3 if b - a == 3 and t[a + 2] in HAN_GIVEN else a + 2 if t[a + 1] in HAN_GIVEN else b
-                p = a + 1 if t[a + 1] not in HAN_GIVEN else b
-                if t[a + 1] not in HAN_GIVEN:
-                    continue
+                spans = [(a, x) for x in range(a + 2, b + 1)]
+                p = a + 1
             if rx is EMAIL:
                 while b > a and t[b - 1] in ".-":
                     b -= 1
-            # by definition no numbers of these kinds: those of serials, tickets, jobs, runs, boxes
-            if k in (1, 2) and _NOT["number"].search(t[max(0, a - 40) : a].rpartition("\n")[2]):
-                continue
-            # and no phone number what an identity label stands right before
-            if k == 1 and _IDWORD.search(t[max(0, a - 40) : a].rpartition("\n")[2]):
-                continue
-            out.append((k, a, b, _votes(KINDS[k], t, a, b)))
+                spans = [(a, b)]
+            for a, b in spans:
+                v = _votes(KINDS[k], t, a, b)
+                if max(v) > 0 or k == 4:  # of a number, address or mail nobody is for: decided
+                    out.append((k, a, b, v))
     return out
 
 
@@ -234,17 +242,24 @@ def _scan_one(raw: str | None) -> list[dict]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of documents with candidates; with a third column, every row and its text again."""
     for b in batches:
         for k in range(0, b.num_rows, 500):
             part = b.slice(k, 500)
             rows = [_scan_one(x) for x in part.column("text").to_pylist()]
-            keep = [i for i, r in enumerate(rows) if r]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(keep, pa.int64())), pa.array([rows[i] for i in keep], _ARROW_CAND)], names=["doc_id", "cands"])
+            keep = pa.array([i for i, r in enumerate(rows) if r or b.num_columns == 3], pa.int64())
+            own = [part.column("doc_id").cast(pa.int64()).take(keep), pa.array([rows[i] for i in keep.to_pylist()], _ARROW_CAND)]
+            yield pa.RecordBatch.from_arrays([*own, *([part.column("text").take(keep)] if b.num_columns == 3 else [])], names=["doc_id", "cands", "text"][: b.num_columns])
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """(doc_id, cands): the candidate spans of every document that has any."""
-    return spread(documents.select("doc_id", "text").filter(F.length("text") > 0)).mapInArrow(_scan, f"doc_id bigint, cands {_CAND}")
+def scanned(documents: DataFrame, texts: bool = False) -> DataFrame:
+    """(doc_id, cands): the candidate spans of every document that has any, written beside; with
+    ``texts``, of every document, with its text."""
+    spark, side = documents.sparkSession, scratch(documents.sparkSession, "candidates")
+    rows = documents.select("doc_id", "text", F.lit(1).alias("whole")) if texts else documents.select("doc_id", "text").filter(F.length("text") > 0)
+    schema = f"doc_id bigint, cands {_CAND}{', text string' if texts else ''}"
+    spread(rows).mapInArrow(_scan, schema).write.parquet(side)
+    return spark.read.schema(schema).parquet(side)
 
 
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
@@ -297,15 +312,9 @@ class Model:
         return sorted(taken, key=lambda x: x[1])
 
 
-def train(cands: DataFrame, sample: int = SAMPLE, epochs: int = 15, rate: float = 0.4) -> Model:
-    """Labels all vote patterns by EM, then fits the classifier on at most ``sample`` spans, the
-    ones with the smallest hashes."""
-    each = cands.select("doc_id", F.explode("cands").alias("c"))
-    by_kind: dict[int, dict[str, int]] = {}
-    for r in each.groupBy("c.kind", "c.votes").agg(F.count(F.lit(1)).alias("n")).collect():
-        by_kind.setdefault(r["kind"], {})[r["votes"]] = r["n"]
-    prob = {k: expectation_maximisation(p) for k, p in by_kind.items()}
-    rows = each.select(F.xxhash64("doc_id", "c.a", "c.kind").alias("h"), "c.kind", "c.votes", "c.feats").orderBy("h").limit(sample).collect()
+def fit(patterns: dict[int, dict[str, int]], rows: list, epochs: int = 15, rate: float = 0.4) -> Model:
+    """Labels the vote patterns of each kind by EM, then fits the classifier on rows (kind, votes, feats)."""
+    prob = {k: expectation_maximisation(p) for k, p in patterns.items()}
     w = np.zeros(DIM)
     if not rows:
         return Model(w)
@@ -326,12 +335,20 @@ def train(cands: DataFrame, sample: int = SAMPLE, epochs: int = 15, rate: float
     return Model(w[:DIM])
 
 
-def find(documents: DataFrame) -> tuple[DataFrame, Model]:
-    """(doc_id, pii_kind, start_pos, end_pos) of every occurrence, and the model that decided."""
-    spark = documents.sparkSession
-    side = scratch(spark, "candidates")
-    scan(documents).write.parquet(side)
-    cands = spark.read.schema(f"doc_id bigint, cands {_CAND}").parquet(side)
+def train(cands: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model from the counts of all vote patterns and at most ``sample`` spans, the ones with the
+    smallest hashes."""
+    each = cands.select("doc_id", F.explode("cands").alias("c"))
+    patterns: dict[int, dict[str, int]] = {}
+    for r in each.groupBy("c.kind", "c.votes").agg(F.count(F.lit(1)).alias("n")).collect():
+        patterns.setdefault(r["kind"], {})[r["votes"]] = r["n"]
+    rows = each.select(F.xxhash64("doc_id", "c.a", "c.kind").alias("h"), "c.kind", "c.votes", "c.feats").orderBy("h").limit(sample).collect()
+    return fit(patterns, rows)
+
+
+def find(documents: DataFrame) -> DataFrame:
+    """(doc_id, pii_kind, start_pos, end_pos) of every occurrence."""
+    cands = scanned(documents)
     model = train(cands)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,25 +357,29 @@ def find(documents: DataFrame) -> tuple[DataFrame, Model]:
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "pii_kind", "start_pos", "end_pos"])
 
-    return cands.mapInArrow(decide, "doc_id bigint, pii_kind string, start_pos bigint, end_pos bigint").distinct(), model
+    return cands.mapInArrow(decide, "doc_id bigint, pii_kind string, start_pos bigint, end_pos bigint").distinct()
 
 
-def replace_spans(raw: str | None, model: Model) -> str | None:
-    """The text with every span replaced by its kind in angle brackets, all else as it was."""
+def replace_spans(raw: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text with every span (kind, start, end) replaced by its kind in angle brackets, all else as it was."""
     if not raw:
         return raw
     out, last = [], 0
-    for k, a, b in model.decide(_scan_one(raw)):
+    for k, a, b in spans:
         out += (raw[last:a], f"<{KINDS[k].upper()}>")
         last = b
     return "".join(out) + raw[last:]
 
 
-def redact(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text) with typed placeholders; narrow, the trained model travels with the tasks."""
+def redact(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) of every document with typed placeholders. The texts are scanned once: they are
+    written beside with their candidates, and the trained model decides on these."""
+    cands = scanned(documents, texts=True)
+    model = train(cands)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([replace_spans(x, model) for x in b.column("text").to_pylist()], pa.string())], names=["doc_id", "text"])
+            out = [replace_spans(x, model.decide(cs) if cs else []) for cs, x in zip(b.column("cands").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return documents.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, text string")
+    return cands.mapInArrow(rows, "doc_id bigint, text string")

@@ -66,12 +66,11 @@ def p9_near(spark, d):
 
 
 def p10_found(spark, d):
-    return pii.find(table(spark, d, "documents"))[0].select("doc_id", "pii_kind", "start_pos")
+    return pii.find(table(spark, d, "documents")).select("doc_id", "pii_kind", "start_pos")
 
 
 def p10_redacted(spark, d):
-    docs = table(spark, d, "documents")
-    return pii.redact(docs, pii.find(docs)[1])
+    return pii.redact(table(spark, d, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_counts, p5_found, p5_split, p5_totals, p8_ids, p8_roundtrip, p9_found, p9_near, p10_found, p10_redacted)}
