@@ -310,15 +310,34 @@ PII = [
 def test_personal_information(spark):
     docs = [(i * 1000 + k, t) for i in range(40) for k, (t, _) in enumerate(PII)] + [(99_991, None), (99_992, ""), (99_993, "  ")]
     d = spark.createDataFrame(docs + docs[:5], "doc_id bigint, text string").withColumn("kind", F.lit("clash"))
-    found, model = pii.find(d)
     got = {}
-    for r in found.collect():
+    for r in pii.find(d).collect():
         got.setdefault(r["doc_id"], set()).add((r["pii_kind"], PII[r["doc_id"] % 1000][0][r["start_pos"] : r["end_pos"]]))
     for k, (_, want) in enumerate(PII):
         assert got.get(7000 + k, set()) == want
-    back = {r["doc_id"]: r["text"] for r in pii.redact(d, model).collect()}
+    back = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
     assert back[1] == "My number is <PHONE>, text me when the run stops." and back[99_991] is None and back[99_992] == ""
-    assert pii.find(d.limit(0))[0].count() == 0
+    assert pii.find(d.limit(0)).count() == 0 == pii.redact(d.limit(0)).count()
+
+
+FORMS = [  # names, streets and numbers that no list holds
+    ("请联系王建国，谢谢", "name", "王建国"), ("负责人：李小龙", "name", "李小龙"), ("We met Hiroshi Tanaka yesterday", "name", "Hiroshi Tanaka"), ("Bitte an Ayşe Yılmaz senden", "name", "Ayşe Yılmaz"),
+    ("Ask Davis, Sarah about it", "name", "Davis, Sarah"), ("signed, Q. Obuya", "name", "Q. Obuya"), ("Bring it to 12 rue de Rivoli, Paris", "address", "12 rue de Rivoli"), ("call 06 12 34 56 78", "phone", "06 12 34 56 78"),
+    ("我住在南京东路300号", "address", "南京东路300号"), ("Ship to 7 Zyxw Qvut Boulevard.", "address", "7 Zyxw Qvut Boulevard."), ("phone +33 6 12 34 56 78", "phone", "+33 6 12 34 56 78"), ("serial 329-67-8215", "id_number", "329-67-8215"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "span"), FORMS)
+def test_candidates_come_by_form(text, kind, span):
+    p = Plain(text).text
+    assert (kind, span) in {(pii.KINDS[k], p[a:b]) for k, a, b, _ in pii.candidates(p)}
+
+
+def test_numbers_and_streets_of_no_list_are_found(spark):
+    new = [x for x in FORMS if x[1] in ("phone", "address") and x[0].isascii()]
+    docs = [(i * 1000 + k, t) for i in range(40) for k, (t, _) in enumerate(PII)] + [(900_000 + k, t) for k, (t, _, _) in enumerate(new)]
+    got = {(r["doc_id"] - 900_000, r["pii_kind"], r["start_pos"]) for r in pii.find(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r["doc_id"] >= 900_000}
+    assert {(k, kind, t.index(x)) for k, (t, kind, x) in enumerate(new)} <= got
 
 
 def test_places_survive_damage():
