@@ -114,6 +114,15 @@ def rasterize(points: np.ndarray, height: int, width: int) -> np.ndarray:
     return mask
 
 
+def polygon_iou(a: np.ndarray, b: np.ndarray, raster: int = 256) -> float:
+    """Overlap of two polygons in unit coordinates, drawn with their borders on a square raster (M3)."""
+    if len(a) < 3 or len(b) < 3:
+        return 0.0
+    x, y = (rasterize(np.rint(np.clip(p, 0, 1) * (raster - 1)), raster, raster) for p in (a, b))
+    union = int((x | y).sum())
+    return int((x & y).sum()) / union if union else 0.0
+
+
 def mask_bbox(mask: np.ndarray) -> tuple[int, int, int, int] | None:
     ys, xs = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
     return (int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1) if len(ys) else None

@@ -1,17 +1,15 @@
 """Distribution profiles: histograms, comparison, mixture.
 
-A profile is a long table (domain, label, metric, bin, n). Crowding needs every pair of boxes of an
-image; it runs inside the image's own array up to a bounded number of boxes, block by block beyond it.
+A profile is a long table (domain, label, metric, bin, n).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolake.functions import geometry as g
+from annolake.operators.neighbours import touching
 
 #: metric -> upper end of its range; all start at 0
 METRICS = {"center_x": 1.0, "center_y": 1.0, "bottom_y": 1.0, "width": 1.0, "height": 1.0, "area": 1.0, "aspect_ratio": 5.0}
@@ -36,55 +34,15 @@ def histograms(boxes: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
     return dense.select(*keys, "metric", "bin", F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0)).cast("bigint").alias("n"))
 
 
-WIDE = 2048
-
-
-def crowding(boxes: DataFrame, key: str = "stem", wide: int = WIDE) -> DataFrame:
-    """Each box's largest IoU with another box of its image (J6). Images of up to ``wide`` boxes are
-    one array each; those of wider ones are cut into blocks, every box is sent once to each block of
-    its image and the best over blocks is a map-side combined maximum, so that no image is ever
-    collected whole. ``ord`` tells the boxes of an image apart."""
+def crowding(boxes: DataFrame, key: str = "stem") -> DataFrame:
+    """Each box's largest IoU with another box of its image (J6); ``ord`` tells the boxes of an image
+    apart. Only boxes that may touch are pairs (``neighbours``), the largest overlap is a map-side
+    combined maximum, so an image of any size is spread over tasks."""
     c = boxes.select(key, "ord", "label", g.corners(F.col("cx"), F.col("cy"), F.col("w"), F.col("h")).alias("box"))
-    n = c.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > wide)
-    return _crowding_in_arrays(c.join(n, key, "left_anti"), key).unionByName(_crowding_in_blocks(c.join(n, key), key, wide))
-
-
-def _crowding_in_blocks(c: DataFrame, key: str, wide: int) -> DataFrame:
-    last = F.floor((F.col("_n") - 1) / wide).cast("int")
-    flat = ["box.x1", "box.y1", "box.x2", "box.y2"]
-    k = F.col(key).cast("string").alias("k")
-    ref = c.select(k, F.pmod(F.xxhash64("ord"), last + 1).cast("int").alias("blk"), F.col("ord").alias("ord"), *flat)
-    q = c.select(k, F.explode(F.sequence(F.lit(0), last)).alias("blk"), F.col("ord").alias("ord"), *flat)
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (np.stack([t.column(x).to_numpy() for x in ("x1", "y1", "x2", "y2")], 1) for t in (left, right))
-        own = {o: i for i, o in enumerate(right.column("ord").to_pylist())}
-        at = np.array([own.get(o, -1) for o in left.column("ord").to_pylist()], int)
-        size = lambda m: np.clip(m[:, 2] - m[:, 0], 0, None) * np.clip(m[:, 3] - m[:, 1], 0, None)
-        out = np.zeros(len(a))
-        for i in range(0, len(a), 512):
-            p = a[i : i + 512]
-            inter = np.clip(np.minimum(p[:, None, 2], b[None, :, 2]) - np.maximum(p[:, None, 0], b[None, :, 0]), 0, None) * np.clip(np.minimum(p[:, None, 3], b[None, :, 3]) - np.maximum(p[:, None, 1], b[None, :, 1]), 0, None)
-            iou = inter / np.maximum(1e-12, size(p)[:, None] + size(b)[None] - inter)
-            mine = at[i : i + 512]
-            iou[np.flatnonzero(mine >= 0), mine[mine >= 0]] = 0.0
-            out[i : i + 512] = iou.max(1, initial=0.0)
-        return pa.table({"k": left.column("k"), "ord": left.column("ord"), "iou": pa.array(out)})
-
-    found = q.groupBy("k", "blk").cogroup(ref.groupBy("k", "blk")).applyInArrow(best, "k string, ord string, iou double").groupBy("k", "ord").agg(F.max("iou").alias("max_iou"))
-    return c.withColumn("k", F.col(key).cast("string")).join(found, ["k", "ord"]).select(key, "ord", "label", "max_iou")
-
-
-def _crowding_in_arrays(c: DataFrame, key: str) -> DataFrame:
-    per = c.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "label", "box"))).alias("bs"))
-    most = F.transform(
-        "bs",
-        lambda a, i: F.struct(
-            a["ord"].alias("ord"), a["label"].alias("label"),
-            F.aggregate(F.transform("bs", lambda b, j: F.when(i != j, g.box_iou(a["box"], b["box"])).otherwise(0.0)), F.lit(0.0), lambda m, x: F.greatest(m, x)).alias("max_iou"),
-        ),
-    )
-    return per.select(key, F.explode(most).alias("o")).select(key, "o.ord", "o.label", "o.max_iou")
+    s = c.select(key, F.struct("box.*", "ord").alias("s"))
+    pairs = touching(s, s, [key]).filter(F.col("l.ord") != F.col("r.ord"))
+    most = pairs.groupBy(key, F.col("l.ord").alias("ord")).agg(F.max(g.box_iou(F.col("l"), F.col("r"))).alias("m"))
+    return c.join(most, [key, "ord"], "left").select(key, "ord", "label", F.coalesce("m", F.lit(0.0)).alias("max_iou"))
 
 
 def shares(counts: DataFrame, over: list[str], n: str = "n") -> DataFrame:

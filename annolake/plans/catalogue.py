@@ -115,19 +115,38 @@ def _phash(vec):
 
 
 def phash_bits(spark, d):
-    return v_vec(spark, d).select("id", F.bit_count(_phash(F.col("vec"))).alias("n_bits"))
+    """The bits themselves, the first one on the left."""
+    return v_vec(spark, d).select("id", F.lpad(F.bin(_phash(F.col("vec"))), 64, "0").alias("bits"))
+
+
+def v_phash(spark, d):
+    """Whole hashes; a fifth of the rows again with up to seven bits turned, so that matches exist."""
+    h = v_vec(spark, d).select(F.col("id").alias("pos"), _phash(F.col("vec")).alias("phash"))
+    near = h.filter("pos % 5 = 0").select((F.col("pos") + 1_000_000_000).alias("pos"), F.col("phash").bitwiseXOR(F.call_function("shiftleft", F.lit(2**9 - 1).cast("bigint").bitwiseAND(F.col("pos")), (F.pmod("pos", F.lit(50))).cast("int"))).alias("phash"))
+    return h.unionByName(near)
 
 
 def phash_band_candidates(spark, d):
-    """Nearest earlier hash within 7 bits of the first 16 signs repeated, so that matches exist."""
-    short = F.slice("vec", 1, 16)
-    h = v_vec(spark, d).select(F.col("id").alias("pos"), _phash(F.concat(short, short, short, short)).alias("phash"))
-    return similarity.near_hashes(h, 7)
+    """Nearest earlier hash within 7 bits."""
+    return similarity.near_hashes(v_phash(spark, d), 7)
+
+
+def cross_split_near_leak(spark, d):
+    """Near hashes across splits that are no exact copies."""
+    split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.pmod(F.floor(F.col("pos") / 5), F.lit(3)).cast("int") + 1)
+    h = v_phash(spark, d).withColumn("split", split).withColumn("digest", F.pmod("pos", F.lit(7)).cast("string"))
+    return similarity.cross_split_near(h, SPLIT_ORDER, 7)
+
+
+def perceptual_diversity(spark, d):
+    r = similarity.perceptual_diversity(v_phash(spark, d))
+    return r.withColumn("diversity", F.round("diversity", 9))
 
 
 def cross_split_embedding_leak(spark, d):
-    v = v_vec(spark, d).withColumn("s", F.pmod("id", F.lit(3)))
-    return similarity.nearest(v.filter("s = 1"), v.filter("s = 0")).filter("sim >= 0.4").select("id", "best_id", F.round("sim", 6).alias("sim"))
+    """Best matches across all pairs of splits."""
+    split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.pmod("id", F.lit(3)).cast("int") + 1)
+    return similarity.cross_split_nearest(v_vec(spark, d).withColumn("split", split), SPLIT_ORDER, 0.4).withColumn("sim", F.round("sim", 6))
 
 
 def uniqueness_summary(spark, d):
@@ -287,7 +306,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         label_class_rollup, class_imbalance, label_line_validation, missing_labels, objects_per_image, class_histograms, crowding_max_iou, split_profile_distance, profile_mix,
-        exact_duplicates, cross_split_exact_leak, phash_bits, phash_band_candidates, cross_split_embedding_leak, uniqueness_summary, domain_compare, diverse_subset, hard_example_scores,
+        exact_duplicates, cross_split_exact_leak, phash_bits, phash_band_candidates, cross_split_near_leak, perceptual_diversity, cross_split_embedding_leak, uniqueness_summary, domain_compare, diverse_subset, hard_example_scores,
         hard_example_topk, fn_fp_by_class, source_reuse, source_components, source_aware_split, split_leak_sources, merge_dense_ids, shard_by_count, shard_by_bytes, coco_validity,
         run_state_counts, task_seeds, qa_warnings, visibility_diagnostics, template_constraints, background_cycle, label_first_plan, pending_tasks, coco_subset,
     )

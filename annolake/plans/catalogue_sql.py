@@ -27,6 +27,8 @@ def _bits(v: str) -> str:
     return f"(WITH RECURSIVE m AS (SELECT list_sort(list_slice({v}, 2, 64))[32] AS x) SELECT x FROM m)"
 
 
+_PHASH = f"""{_VEC}, ph0 AS (SELECT id AS pos, list_sum(list_transform(v, lambda x, i: CASE WHEN x > list_sort(list_slice(v, 2, 64))[32] THEN CASE WHEN i = 1 THEN -9223372036854775808::HUGEINT ELSE (2::HUGEINT ** (64 - i))::HUGEINT END ELSE 0::HUGEINT END))::BIGINT AS h FROM vec),
+ph AS (SELECT pos, h FROM ph0 UNION ALL SELECT pos + 1000000000, xor(h, ((((511 & pos)::HUGEINT << (pos % 50)::INTEGER) + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT) FROM ph0 WHERE pos % 5 = 0)"""
 _GRID = "CAST(round_even(greatest(0, least(1, {})) * 255, 0) AS DOUBLE)"
 _RECTS = "rect AS (SELECT *, " + ", ".join(f"{_GRID.format(e)} AS {n}" for n, e in (("x1", "cx - w / 2"), ("y1", "cy - h / 2"), ("x2", "cx + w / 2"), ("y2", "cy + h / 2"))) + " FROM box)"
 _HARD = f"""
@@ -86,13 +88,17 @@ SELECT kind, n_tokens, CAST(count(*) FILTER (WHERE kind <> 'unreadable') AS BIGI
     "exact_duplicates": f"WITH {_DOC}, f AS (SELECT digest, min(pos) AS owner FROM doc WHERE digest IS NOT NULL GROUP BY digest) SELECT pos, owner FROM doc JOIN f USING (digest) WHERE pos > owner",
     "cross_split_exact_leak": f"""WITH {_DOC}, o AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS so FROM doc WHERE digest IS NOT NULL),
   x AS (SELECT *, min(so) OVER (PARTITION BY digest) AS fo FROM o) SELECT pos, split, CASE fo WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS owner_split FROM x WHERE so > fo""",
-    "phash_bits": f"WITH {_VEC}, m AS (SELECT id, v, list_sort(list_slice(v, 2, 64))[32] AS med FROM vec) SELECT id, CAST(len(list_filter(v, lambda x: x > med)) AS INTEGER) AS n_bits FROM m",
-    "phash_band_candidates": f"""WITH {_VEC}, r AS (SELECT id, list_concat(list_concat(v[1:16], v[1:16]), list_concat(v[1:16], v[1:16])) AS v FROM vec), m AS (SELECT id, v, list_sort(list_slice(v, 2, 64))[32] AS med FROM r),
-  b AS (SELECT id, list_transform(v, lambda x: CASE WHEN x > med THEN 1 ELSE 0 END) AS bits FROM m),
-  p AS (SELECT a.id, b2.id AS owner, CAST(list_sum(list_transform(list_zip(a.bits, b2.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS d FROM b a JOIN b b2 ON b2.id < a.id)
-  SELECT id AS pos, arg_min(owner, d * 1000000 + owner) AS owner, min(d) AS distance FROM p WHERE d <= 7 GROUP BY id""",
-    "cross_split_embedding_leak": f"""WITH {_VEC}, p AS (SELECT a.id, b.id AS best_id, {_COS} AS sim FROM vec a JOIN vec b ON a.id % 3 = 1 AND b.id % 3 = 0),
-  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, best_id) AS rn FROM p) SELECT id, best_id, round(sim, 6) AS sim FROM r WHERE rn = 1 AND sim >= 0.4""",
+    "phash_bits": f"WITH {_VEC}, m AS (SELECT id, v, list_sort(list_slice(v, 2, 64))[32] AS med FROM vec) SELECT id, list_aggregate(list_transform(v, lambda x: CASE WHEN x > med THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM m",
+    "phash_band_candidates": f"""WITH {_PHASH}, p AS (SELECT a.pos, b.pos AS owner, bit_count(xor(a.h, b.h)) AS d FROM ph a JOIN ph b ON b.pos < a.pos)
+  SELECT pos, arg_min(owner, d::BIGINT * 10000000000 + owner) AS owner, CAST(min(d) AS INTEGER) AS distance FROM p WHERE d <= 7 GROUP BY pos""",
+    "cross_split_near_leak": f"""WITH {_PHASH}, s AS (SELECT pos, h, pos % 7 AS g, (pos // 5) % 3 AS so FROM ph),
+  p AS (SELECT a.pos, a.so, b.pos AS owner, b.so AS oso, bit_count(xor(a.h, b.h)) AS d FROM s a JOIN s b ON b.so < a.so AND a.g <> b.g WHERE bit_count(xor(a.h, b.h)) <= 7),
+  r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY d, owner) AS rn FROM p)
+  SELECT pos, ['train', 'val', 'test'][so + 1] AS split, owner, ['train', 'val', 'test'][oso + 1] AS owner_split, CAST(d AS INTEGER) AS distance FROM r WHERE rn = 1""",
+    "perceptual_diversity": f"WITH {_PHASH} SELECT CAST(count(h) AS BIGINT) AS n, CAST(count(DISTINCT h) AS BIGINT) AS n_unique, round(CAST(count(DISTINCT h) AS DOUBLE) / count(h), 9) AS diversity FROM ph",
+    "cross_split_embedding_leak": f"""WITH {_VEC}, p AS (SELECT a.id, a.id % 3 AS so, b.id AS best_id, b.id % 3 AS oso, {_COS} AS sim FROM vec a JOIN vec b ON b.id % 3 < a.id % 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id, oso ORDER BY sim DESC, best_id) AS rn FROM p)
+  SELECT id, ['train', 'val', 'test'][so + 1] AS split, best_id, ['train', 'val', 'test'][oso + 1] AS owner_split, round(sim, 6) AS sim FROM r WHERE rn = 1 AND sim >= 0.4""",
     "uniqueness_summary": f"{_U} SELECT CAST(count(*) AS BIGINT) AS samples, round(avg(u), 6) AS mean_uniqueness, round(quantile_cont(u, 0.5), 6) AS median_uniqueness, round(quantile_cont(u, 0.1), 6) AS p10, round(quantile_cont(u, 0.9), 6) AS p90, round(avg(sim), 6) AS mean_nearest FROM u",
     "domain_compare": f"""WITH {_VEC}, nn AS (SELECT a.id, max({_COS}) AS sim FROM vec a JOIN vec b ON a.label >= 5 AND b.label < 5 GROUP BY a.id),
   c AS (SELECT label < 5 AS real, i, avg(v[i]) AS x FROM vec, range(1, 65) t(i) GROUP BY ALL),
@@ -100,7 +106,7 @@ SELECT kind, n_tokens, CAST(count(*) FILTER (WHERE kind <> 'unreadable') AS BIGI
   SELECT CAST((SELECT count(*) FROM nn) AS BIGINT) AS n, (SELECT round(avg(sim), 6) FROM nn) AS mean_nn, (SELECT round(quantile_cont(sim, 0.1), 6) FROM nn) AS p10_nn, (SELECT round(quantile_cont(sim, 0.9), 6) FROM nn) AS p90_nn,
   (SELECT round(ab / (na * nb), 6) FROM k) AS centroid_cosine""",
     "hard_example_scores": _HARD + "SELECT stem, CAST(gt AS INTEGER) AS gt, CAST(pred AS INTEGER) AS pred, CAST(fn AS INTEGER) AS fn, CAST(fp AS INTEGER) AS fp, CAST(low_conf AS INTEGER) AS low_conf, CAST(poor_loc AS INTEGER) AS poor_loc, score FROM sc",
-    "hard_example_topk": _HARD + """SELECT stem, score, array_to_string(list_filter([CASE WHEN fn > 0 THEN 'FN:' || fn END, CASE WHEN fp > 0 THEN 'FP:' || fp END, CASE WHEN low_conf > 0 THEN 'low-conf:' || low_conf END, CASE WHEN poor_loc > 0 THEN 'localization:' || poor_loc END], lambda x: x IS NOT NULL), ',') AS reasons
+    "hard_example_topk": _HARD + """SELECT stem, score, array_to_string(list_filter([CASE WHEN fn > 0 THEN 'FN:' || fn END, CASE WHEN fp > 0 THEN 'FP:' || fp END, CASE WHEN low_conf > 0 THEN 'low-conf:' || low_conf END, CASE WHEN poor_loc > 0 THEN 'geometry:' || poor_loc END], lambda x: x IS NOT NULL), ',') AS reasons
   FROM sc WHERE score > 0 ORDER BY score DESC, stem LIMIT 50""",
     "fn_fp_by_class": _HARD + """, f AS (SELECT g.label, 1 AS fn, 0 AS fp FROM gt g ANTI JOIN (SELECT stem, gi FROM m WHERE gi >= 0) u ON u.stem = g.stem AND u.gi = g.gi UNION ALL SELECT label, 0, 1 FROM m WHERE gi < 0 AND conf >= 0.25)
   SELECT label, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp FROM f GROUP BY label""",

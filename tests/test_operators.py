@@ -81,8 +81,10 @@ def test_nearest_over_blocks_and_hashes(spark):
     n = m / np.linalg.norm(m, axis=1, keepdims=True)
     s = n @ n.T
     np.fill_diagonal(s, -2)
-    got = {r["id"]: r["best_id"] for r in similarity.nearest(v, v, block_rows=20, exclude_self=True).collect()}
+    got = {r["id"]: r["best_id"] for r in similarity.nearest(v, v, exclude_self=True).collect()}
     assert got == {i: int(s[i].argmax()) for i in range(90)}
+    one = similarity.uniqueness(v.limit(1)).first()
+    assert one["samples"] == 1 and one["mean_uniqueness"] == 1.0 and similarity.uniqueness(v.limit(0)).first()["mean_uniqueness"] is None
     hs = [int(x) for x in rng.integers(-(2**62), 2**62, 20)]
     hs += [h ^ 0b1011 for h in hs[:10]] + hs[:3]
     d = spark.createDataFrame(list(enumerate(hs)), "pos bigint, phash bigint")
@@ -94,17 +96,103 @@ def test_nearest_over_blocks_and_hashes(spark):
     assert {r["pos"]: (r["owner"], r["distance"]) for r in similarity.near_hashes(d, 6).collect()} == want
 
 
-def test_crowding_of_wide_images_equals_arrays(spark):
-    from annolake.operators import profile
+def test_nearest_over_cells_reaches_the_recall(spark):
+    """Many cells, some of them cut into blocks: rows whose id is divisible by 20 against all rows."""
+    rng = np.random.default_rng(14)
+    hot = np.repeat(rng.normal(size=(1, 16)), 1500, 0) + 0.3 * rng.normal(size=(1500, 16))
+    m = np.vstack((hot, np.repeat(rng.normal(size=(60, 16)), 50, 0) + 0.5 * rng.normal(size=(3000, 16))))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id bigint, vec array<double>")
+    q = v.filter("id % 20 = 0")
+    n = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = n[::20] @ n.T
+    s[np.arange(len(s)), np.arange(len(s)) * 20] = -2
+    got = {r["id"]: r["best_id"] for r in similarity.nearest(q, v, cell_rows=128, exclude_self=True).collect()}
+    hit = [got[20 * k] == int(s[k].argmax()) for k in range(len(s))]
+    assert len(got) == len(s) and np.mean(hit) >= 0.9
+
+
+def test_hash_pairs_lose_none(spark):
+    rng = random.Random(15)
+    base = [rng.getrandbits(64) for _ in range(60)] + [0, 2**64 - 1, 255]
+    hs = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(9))) for b in base for _ in range(6)} | set(base)
+    signed = [h - 2**64 if h >> 63 else h for h in hs]
+    got = [tuple(r) for r in similarity.hash_pairs(spark.createDataFrame([(h,) for h in signed], "h bigint"), 7).collect()]
+    d = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert len(got) == len(set(got)) and set(got) == {(a, b, d(a, b)) for a in signed for b in signed if a != b and d(a, b) <= 7}
+
+
+def test_cross_split_near_leaves_exact_copies_out(spark):
+    order = {"train": 0, "val": 1, "test": 2}
+    rows = [(1, 5, "train", "a"), (2, 5, "val", "a"), (3, 7, "val", "b"), (4, 5, "test", "a"), (5, 5, "train", "c"), (6, None, "test", "d"), (7, 5, None, "e"), (8, 4, "train", None)]
+    got = {r["pos"]: (r["owner"], r["owner_split"], r["distance"]) for r in similarity.cross_split_near(spark.createDataFrame(rows, "pos bigint, phash bigint, split string, digest string"), order).collect()}
+    assert got == {2: (5, "train", 0), 3: (1, "train", 1), 4: (5, "train", 0)}
+
+
+def test_crowding_over_a_grid(spark):
+    from annolake.operators import neighbours, profile
 
     rng = random.Random(6)
-    rows = [(k % 3, f"{k:05d}", "x", rng.random(), rng.random(), 0.2 * rng.random(), 0.2 * rng.random()) for k in range(160)] + [(9, "0", "y", 0.5, 0.5, 0.1, 0.1)]
+    rows = [(k % 3, f"{k:05d}", "x", 1.4 * rng.random() - 0.2, rng.random(), 0.1 * rng.random(), 0.1 * rng.random()) for k in range(400)] + [(9, "0", "y", 0.5, 0.5, 0.1, 0.1)]
     b = spark.createDataFrame(rows, "stem bigint, ord string, label string, cx double, cy double, w double, h double")
-    small, wide = (sorted((r["stem"], r["ord"], r["label"], round(r["max_iou"], 9)) for r in profile.crowding(b, wide=w).collect()) for w in (1000, 16))
-    assert small == wide and len(small) == 161 and max(x[3] for x in small) > 0.1
+
+    def iou(a, c):
+        w = min(a[3] + a[5] / 2, c[3] + c[5] / 2) - max(a[3] - a[5] / 2, c[3] - c[5] / 2)
+        h = min(a[4] + a[6] / 2, c[4] + c[6] / 2) - max(a[4] - a[6] / 2, c[4] - c[6] / 2)
+        i = max(0, w) * max(0, h)
+        return i / max(1e-12, a[5] * a[6] + c[5] * c[6] - i)
+
+    want = {(r[0], r[1]): round(max((iou(r, c) for c in rows if c[0] == r[0] and c[1] != r[1]), default=0.0), 9) for r in rows}
+    assert neighbours.CROWDED < 130
+    assert {(r["stem"], r["ord"]): round(r["max_iou"], 9) for r in profile.crowding(b).collect()} == want and max(want.values()) > 0.1
     assert profile.crowding(b.limit(0)).count() == 0
 
 
+def test_matching_equals_the_greedy_order(spark):
+    """Against the loop over predictions, in a crowded image and in small ones."""
+    rng = random.Random(16)
+    cols = "stem bigint, ord string, label string, cx double, cy double, w double, h double, conf double"
+    box = lambda k, s: (s, f"{k:05d}", rng.choice("xy"), rng.random(), rng.random(), 0.03 + 0.05 * rng.random(), 0.03 + 0.05 * rng.random(), round(rng.random(), 1))
+    gt = [box(k, 0 if k < 300 else k % 20) for k in range(400)]
+    near = lambda b, k: (b[0], f"{k:05d}", b[2], *(v + rng.gauss(0, 0.01) for v in b[3:5]), *b[5:7], round(rng.random(), 1))
+    pred = [near(rng.choice(gt), k) for k in range(500)]
+
+    def grid(b):
+        return [round(min(1, max(0, v)) * 255) for v in (b[3] - b[5] / 2, b[4] - b[6] / 2, b[3] + b[5] / 2, b[4] + b[6] / 2)]
+
+    def iou(a, c):
+        (ax, ay, au, av), (bx, by, bu, bv) = grid(a), grid(c)
+        i = max(0, min(au, bu) - max(ax, bx) + 1) * max(0, min(av, bv) - max(ay, by) + 1)
+        return i / ((au - ax + 1) * (av - ay + 1) + (bu - bx + 1) * (bv - by + 1) - i)
+
+    want, used = set(), set()
+    for p in sorted(pred, key=lambda p: (-p[7], p[1])):
+        c = [(-iou(p, q), q[1]) for q in gt if q[0] == p[0] and q[2] == p[2] and (q[0], q[1]) not in used]
+        if c and -min(c)[0] >= 0.3:
+            used.add((p[0], min(c)[1]))
+            want.add((p[0], p[1], min(c)[1]))
+    g_, p_ = spark.createDataFrame(gt, cols), spark.createDataFrame(pred, cols)
+    got = {(r["stem"], r["p"]["ord"], r["g"]) for r in hard_examples.claims(g_, p_, "stem", 0.3).collect()}
+    assert got == want and len(want) > 200
+    m = hard_examples.matched(spark.range(25).withColumnRenamed("id", "stem"), g_, p_, match_iou=0.3)
+    assert hard_examples.scores(m).count() == 25 and hard_examples.scores(m).agg(F.sum("gt")).first()[0] == 400
+    assert hard_examples.claims(g_.limit(0), p_, "stem", 0.3).count() == 0 == hard_examples.errors_by_class(hard_examples.matched(spark.range(0).withColumnRenamed("id", "stem"), g_, p_)).count()
+
+
+def test_predictions_of_every_task(spark):
+    text = {"detect": ["1 .5 .5 .2 .2 .9", "1 .5 .5 .2 .2", "1 .5", "x 1 1 1 1"], "obb": ["0 0 0 1 0 1 1 0 1 .4", "0 0 0 1 0"], "seg": ["2 0 0 1 0 1 1 .7", "2 0 0 1 0 1 1", "2 0 0 1 0"]}
+    for task, lines in text.items():
+        d = spark.createDataFrame([("s", i, t) for i, t in enumerate(lines)], "stem string, line_no int, line string")
+        r = hard_examples.shape_boxes(hard_examples.prediction_shapes(d, task), task).orderBy("line_no").collect()
+        assert [x["conf"] for x in r] == {"detect": [0.9, 1.0], "obb": [0.4], "seg": [0.7, 1.0]}[task]
+        assert task == "detect" or len(r[0]["points"]) == {"obb": 4, "seg": 3}[task]
+    tri = lambda *p: [(float(x), float(y)) for x, y in p]
+    cols = "stem string, ord string, label string, cx double, cy double, w double, h double, conf double, points array<struct<x:double,y:double>>"
+    a = spark.createDataFrame([("s", "1", "k", 0.5, 0.5, 1.0, 1.0, 1.0, tri((0, 0), (1, 0), (0, 1)))], cols)
+    b = spark.createDataFrame([("s", "1", "k", 0.5, 0.5, 1.0, 1.0, 0.9, tri((1, 1), (1, 0), (0, 1))), ("s", "2", "k", 0.5, 0.5, 1.0, 1.0, 0.8, tri((0, 0), (1, 0), (0, 1)))], cols)
+    assert [(r["p"]["ord"], r["iou"]) for r in hard_examples.claims(a, b, "stem", 0.5).collect()] == [("2", 1.0)]
+
+
+
 def test_files_round_trip(spark, tmp_path):
     root = str(tmp_path)
     for s in ("train", "val"):
