@@ -27,12 +27,57 @@ _ARROW = pa.schema([
     ("idx", pa.int64()), ("slot", pa.int32()), ("seed", pa.int64()), ("label", pa.string()), ("class_id", pa.int32()), ("center_x", pa.float64()), ("bottom_y", pa.float64()),
     ("height", pa.float64()), ("flip", pa.bool_()), ("angle", pa.float64()), ("allow_overlap", pa.bool_()), ("origin", pa.string()), ("intentional_empty", pa.bool_()),
 ])
-#: Built-in hard cases.
+#: The built-in hard cases.
 HARD_CASES = {
-    "small-object": {"height_scale": (0.35, 0.70), "far_bias": 0.85},
-    "far-occluded": {"height_scale": (0.40, 0.75), "far_bias": 0.90, "overlap_probability": 0.65, "cluster_probability": 0.55},
-    "crowded": {"count_bias": "max", "overlap_probability": 0.55, "cluster_probability": 0.70},
+    "small-object": {"height_scale": [0.35, 0.65], "bottom_y_bias": "far", "overlap_probability": 0.05, "cluster_probability": 0.0, "count_bias": "normal"},
+    "far-occluded": {"height_scale": [0.35, 0.70], "bottom_y_bias": "far", "overlap_probability": 0.65, "cluster_probability": 0.70, "count_bias": "max"},
+    "crowded": {"height_scale": [0.75, 1.10], "bottom_y_bias": "normal", "overlap_probability": 0.45, "cluster_probability": 0.55, "count_bias": "max"},
 }
+#: The share of the ground a bias keeps to, the spread of a cluster and of heights, and their ends.
+FAR_PART, NEAR_PART, CLUSTER_SPREAD, HEIGHT_SPREAD = 0.48, 0.52, 0.08, (0.82, 1.18)
+PLACE_X, CLUSTER_X, PLACE_H = (0.06, 0.94), (0.04, 0.96), (0.01, 0.85)
+
+
+def hard_case(source: str | dict | None) -> dict | None:
+    """A hard case by name, as a document or from a JSON file (R8); none for nothing, ``off`` and ``none``."""
+    if not source or str(source).lower() in ("off", "none"):
+        return None
+    if isinstance(source, dict):
+        case = dict(source)
+    elif source in HARD_CASES:
+        case = HARD_CASES[source] | {"name": source}
+    else:
+        try:
+            with open(source, encoding="utf-8") as f:
+                case = json.load(f)
+        except OSError as e:
+            raise ValueError(f"no hard case and no file: {source!r}") from e
+    scale = case.get("height_scale", [1.0, 1.0])
+    if not isinstance(scale, list | tuple) or len(scale) != 2 or not 0 < float(scale[0]) <= float(scale[1]):
+        raise ValueError("height_scale must be [least, most], both above 0")
+    case["height_scale"] = [float(x) for x in scale]
+    for name in ("overlap_probability", "cluster_probability"):
+        case[name] = float(case.get(name, 0.0))
+        if not 0.0 <= case[name] <= 1.0:
+            raise ValueError(f"{name} must lie in [0, 1]")
+    return case
+
+
+def background_cycle(samples: DataFrame, backgrounds: DataFrame, name: str, seed: int) -> DataFrame:
+    """Adds cycle, slot and a background to samples numbered by ``idx`` (W9): every background once a
+    cycle, in the order of a hash of seed, cycle and background. The order of a cycle is made from
+    counts by the hash's first letters, the table of orders has one row a sample."""
+    from annolake.operators.ranking import running
+
+    own = backgrounds.select(name).distinct()
+    n = own.count()
+    s = samples.withColumn("cycle", F.floor(F.col("idx") / max(1, n)).cast("bigint")).withColumn("slot", F.pmod("idx", F.lit(max(1, n))).cast("bigint"))
+    last = s.agg(F.coalesce(F.max("cycle"), F.lit(-1))).first()[0]
+    cycles = samples.sparkSession.range(last + 1).select(F.explode(F.array("id")).alias("cycle"))
+    each = own.withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, last)).cast("bigint")))) if last >= 0 else own.join(cycles.limit(0))
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("cycle").cast("string"), F.lit(":"), F.col(name).cast("string")), 256)
+    order = running(each.withColumn("_h", h), [F.col("_h"), F.col(name)], [F.substring("_h", 1, 2)], keys=["cycle"], name="slot").select("cycle", F.col("slot").cast("bigint").alias("slot"), name)
+    return s.join(order, ["cycle", "slot"])
 
 
 @dataclass(frozen=True)
@@ -85,44 +130,53 @@ def draw_histogram(rng: random.Random, counts: list[int], lo: float, hi: float,
 
 
 def _default(rng: random.Random, c: PlanConfig, before: list[dict]) -> tuple[float, float, float]:
-    """Position on the ground, nearer means larger; hard cases push away or towards others."""
+    """Position on the ground, nearer means larger; hard cases keep to the far or near part of the
+    ground, put objects by the one before and scale them (R7, M16)."""
     lo, hi = c.y_range
-    y = lo + (hi - lo) * (rng.random() ** 2 if rng.random() < c.hard_case.get("far_bias", 0.0) else rng.random())
-    x = rng.uniform(0.05, 0.95)
+    part = {"far": (lo, lo + (hi - lo) * FAR_PART), "near": (lo + (hi - lo) * NEAR_PART, hi)}.get(c.hard_case.get("bottom_y_bias", "normal"), (lo, hi))
+    y = rng.uniform(*part)
     if before and rng.random() < c.hard_case.get("cluster_probability", 0.0):
-        near = rng.choice(before)
-        x, y = (min(b, max(a, v + rng.gauss(0, 0.05))) for v, a, b in ((near["center_x"], 0.02, 0.98), (near["bottom_y"], lo, hi)))
-    t = (y - lo) / max(1e-9, hi - lo)
-    return x, y, c.height_range[0] + t * (c.height_range[1] - c.height_range[0])
+        x = min(CLUSTER_X[1], max(CLUSTER_X[0], before[-1]["center_x"] + rng.uniform(-CLUSTER_SPREAD, CLUSTER_SPREAD)))
+    else:
+        x = rng.uniform(*PLACE_X)
+    t = min(1.0, max(0.0, (y - lo) / max(1e-6, hi - lo)))
+    h = (c.height_range[0] + t * (c.height_range[1] - c.height_range[0])) * rng.uniform(*HEIGHT_SPREAD) * rng.uniform(*c.hard_case.get("height_scale", (1.0, 1.0)))
+    return x, y, min(PLACE_H[1], max(PLACE_H[0], h))
 
 
-def relation_holds(kind: str, a: dict, b: dict, margin: float = 0.0, value: float = 0.0) -> bool:
-    """left_of, right_of, above, below, min_distance, max_distance."""
-    d = ((a["center_x"] - b["center_x"]) ** 2 + (a["bottom_y"] - b["bottom_y"]) ** 2) ** 0.5
-    tests = {
-        "left_of": a["center_x"] + margin <= b["center_x"], "right_of": a["center_x"] >= b["center_x"] + margin, "above": a["bottom_y"] + margin <= b["bottom_y"],
-        "below": a["bottom_y"] >= b["bottom_y"] + margin, "min_distance": d >= value, "max_distance": d <= value,
-    }
-    return tests.get(kind, True)
+def relation_holds(kind: str, a: dict, b: dict, margin: float = 0.0, value: float | None = None) -> bool:
+    """left_of, right_of, above, below by the objects' middles, min_distance, max_distance."""
+    (ax, ay), (bx, by) = ((o["center_x"], o["bottom_y"] - o["height"] / 2) for o in (a, b))
+    d, m = ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5, max(0.0, margin)
+    tests = {"left_of": ax + m < bx, "right_of": ax - m > bx, "above": ay + m < by, "below": ay - m > by, "min_distance": d >= (value or 0.0), "max_distance": d <= (1.0 if value is None else value)}
+    return tests.get(str(kind).strip().lower(), True)
 
 
 def from_template(rng: random.Random, c: PlanConfig, template: dict) -> list[dict] | None:
-    """Slots drawn from their ranges until the constraints hold; None if they never did."""
-    for _ in range(max(1, c.constraint_tries)):
+    """Slots drawn from their ranges, or the template's jitter about their place, until the constraints
+    hold; None if they never did (R10). Slots of unknown classes stay out, and constraints on absent
+    slots do not count (J16)."""
+    params = template.get("parameters") or {}
+    for _ in range(max(1, int(params.get("constraint_tries") or c.constraint_tries))):
         rows: dict[str, dict] = {}
-        for s in template.get("instances", []):
+        for k, s in enumerate(template.get("instances", [])):
             v = s.get("variation") or {}
-            if rng.random() >= v.get("enabled_probability", 1.0):
+            if s.get("label") not in c.class_map or rng.random() > v.get("enabled_probability", params.get("instance_probability", 1.0)):
                 continue
-            label = rng.choice(sorted(c.class_map)) if s.get("label") not in c.class_map else s["label"]
-            pick = lambda name, at: rng.uniform(*v[name]) if name in v else at  # noqa: B023, E731
-            flip = bool(s.get("flip", False)) ^ (rng.random() < v.get("flip_probability", 0.0))
-            rows[s["id"]] = {
-                "label": label, "center_x": pick("cx_range", s.get("cx_ratio", 0.5)), "bottom_y": pick("cy_range", s.get("cy_ratio", 0.5)) + s.get("h_ratio", 0.2) / 2,
-                "height": pick("h_range", s.get("h_ratio", 0.2)), "flip": flip, "angle": s.get("angle", 0.0) + pick("angle_range", 0.0), "allow_overlap": bool(v.get("allow_overlap", False)),
+            at = {"cx_range": s.get("cx_ratio", 0.5), "cy_range": s.get("cy_ratio", 0.5), "h_range": s.get("h_ratio", 0.2), "angle_range": s.get("angle", 0.0)}
+            spread = {
+                "cx_range": params.get("position_jitter_x", 0.0), "cy_range": params.get("position_jitter_y", 0.0), "h_range": at["h_range"] * params.get("scale_jitter", 0.0),
+                "angle_range": params.get("angle_jitter", 0.0),
+            }
+            ends = {"cx_range": (0.0, 1.0), "cy_range": (0.0, 1.0), "h_range": (0.01, 1.5), "angle_range": (-1e9, 1e9)}
+            drawn = {n: min(ends[n][1], max(ends[n][0], rng.uniform(*v.get(n, (x - spread[n], x + spread[n]))))) for n, x in at.items()}
+            flip = v.get("flip_probability", params.get("flip_probability"))
+            rows[s.get("id", f"slot_{k + 1:03d}")] = {
+                "label": s["label"], "center_x": drawn["cx_range"], "bottom_y": drawn["cy_range"] + drawn["h_range"] / 2, "height": drawn["h_range"], "angle": drawn["angle_range"],
+                "flip": bool(s.get("flip", False)) if flip is None else rng.random() < flip, "allow_overlap": bool(v.get("allow_overlap", params.get("allow_overlap", True))),
             }
-        active = [k for k in template.get("constraints", []) if k.get("a") in rows and k.get("b") in rows]
-        if all(relation_holds(k["type"], rows[k["a"]], rows[k["b"]], k.get("margin", 0.0), k.get("value", 0.0)) for k in active):
+        active = [k for k in template.get("constraints") or [] if k.get("a") in rows and k.get("b") in rows]
+        if all(relation_holds(k.get("type", ""), rows[k["a"]], rows[k["b"]], k.get("margin") or 0.0, k.get("value")) for k in active):
             return list(rows.values())
     return None
 
@@ -148,7 +202,6 @@ def plan_one(seed: int, c: PlanConfig, profile: dict | None = None, template: di
         label = labels[draw(rng, [profile["classes"].get(k, {}).get("count", 0) for k in labels])] if learned else rng.choice(labels)
         own = profile["classes"].get(label, {}) if learned else {}
         x, y, h = (min(b, max(a, draw_histogram(rng, own.get(m, []), 0.0, 1.0, at))) for m, at, a, b in (("center_x", x, 0.01, 0.99), ("bottom_y", y, 0.01, 0.995), ("height", h, 0.01, 0.9)))
-        h *= rng.uniform(*c.hard_case.get("height_scale", (1.0, 1.0)))
         rows.append({
             "label": label, "center_x": x, "bottom_y": y, "height": h, "flip": rng.random() < c.flip_probability, "angle": 0.0,
             "allow_overlap": rng.random() < c.hard_case.get("overlap_probability", 0.0),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolake.functions import geometry as g
-from annolake.operators import compose, hard_examples, labels, lineage, planning, profile, similarity
+from annolake.operators import compose, datasets, hard_examples, labels, lineage, planning, profile, similarity
 from annolake.operators.ranking import running
 from annolake.session import table
 from annolake.sources import writers
@@ -89,8 +89,35 @@ def crowding_max_iou(spark, d):
 
 
 def split_profile_distance(spark, d):
-    b = _split_boxes(spark, d)
-    return profile.compare(b.filter("split = 'train'"), b.filter("split = 'val'")).select("metric", F.round("distance", 9).alias("distance"))
+    """Class, object-count and histogram distances of train and val."""
+    b, i = _split_boxes(spark, d), v_images(spark, d)
+    one = lambda s: (i.filter(F.col("split") == s), b.filter(F.col("split") == s))
+    (ia, ba), (ib, bb) = one("train"), one("val")
+    return profile.compare(ba, bb, images=(ia, ib)).select("metric", F.round("distance", 9).alias("distance"))
+
+
+def profile_histograms(spark, d):
+    """All nine metrics of the boxes among the others of their image."""
+    return profile.histograms(profile.in_context(v_boxes(spark, d)), ["label"])
+
+
+def v_coco_boxes(spark, d):
+    return profile.coco_boxes(*(table(spark, d, t) for t in ("coco_annotations", "coco_images", "coco_categories")))
+
+
+def coco_profile(spark, d):
+    """Histograms of pixel boxes, shapes' visible share included."""
+    return profile.histograms(v_coco_boxes(spark, d).withColumns({c: F.round(c, 9) for c in ("cx", "cy", "w", "h", "visible_shape_fraction")}), ["label"])
+
+
+def coco_object_counts(spark, d):
+    """Images by the number of their boxes, empty ones included."""
+    return profile.object_counts(table(spark, d, "coco_images").select(F.col("id").alias("stem")), v_coco_boxes(spark, d))
+
+
+def profile_projection(spark, d):
+    """The classes of a class map with their probabilities."""
+    return profile.project(profile.class_shares(v_boxes(spark, d)), ["A", "R", "none"]).withColumn("p", F.round("p", 9))
 
 
 def profile_mix(spark, d):
@@ -98,6 +125,12 @@ def profile_mix(spark, d):
     return profile.mix(n, {"train": 0.2, "val": 0.8}).select("label", F.round("probability", 9).alias("probability"), "n")
 
 
+def profile_mix_histograms(spark, d):
+    """Mixed histograms of two splits."""
+    h = profile.histograms(_split_boxes(spark, d).withColumn("domain", F.col("split")), ["domain", "label"])
+    return profile.mix_histograms(h, {"train": 0.2, "val": 0.8})
+
+
 def exact_duplicates(spark, d):
     return similarity.exact_duplicates(v_content(spark, d))
 
@@ -194,16 +227,111 @@ def source_reuse(spark, d):
     return r.agg(F.count(F.lit(1)).alias("n"), F.max("n_images").alias("max_images"), F.sum("n_images").alias("total"))
 
 
-def _edges(spark, d):
-    return table(spark, d, "lineitem").filter("l_linenumber = 1 and l_discount = 0.1").select(F.col("l_orderkey").alias("stem"), F.col("l_partkey").alias("source"))
+def source_components(spark, d):
+    """Orders linked over shared parts, the whole graph."""
+    return lineage.source_groups(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("stem"), F.col("l_partkey").alias("source")))
 
 
-def source_components(spark, d):
-    return lineage.source_groups(_edges(spark, d))
+def customer_groups(spark, d):
+    """Orders linked over their customer."""
+    return lineage.source_groups(table(spark, d, "orders").select(F.col("o_orderkey").alias("stem"), F.col("o_custkey").alias("source")))
 
 
 def source_aware_split(spark, d):
-    return lineage.assign_split(lineage.source_groups(_edges(spark, d)), 0.2)
+    return lineage.assign_split(customer_groups(spark, d), 0.2)
+
+
+def split_transfer(spark, d):
+    """Where the files of all modalities go by a source-aware split (U4)."""
+    g = customer_groups(spark, d)
+    val = g.join(lineage.assign_split(g, 0.2).filter("split = 'val'"), "gid").select("stem")
+    f = table(spark, d, "orders").select(F.col("o_orderkey").alias("stem"), F.lit("images").alias("modality"), F.lit(".jpg").alias("ext"))
+    f = f.unionByName(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("stem"), F.lit("labels").alias("modality"), F.lit(".txt").alias("ext"))).distinct()
+    return datasets.apply_split(f, val, "/d").groupBy("modality", "split").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("first"))
+
+
+def split_summary(spark, d):
+    """Totals and ratios of a source-aware split and its leaks."""
+    g = customer_groups(spark, d)
+    s = lineage.assign_split(g, 0.2)
+    log = table(spark, d, "orders").select(F.col("o_orderkey").alias("stem"), F.col("o_custkey").alias("source")).join(g, "stem").join(s.select("gid", "split"), "gid")
+    return datasets.split_summary(s, 0.2, lineage.split_leaks(log)).withColumn("actual_val_ratio", F.round("actual_val_ratio", 9))
+
+
+def object_count_hints(spark, d):
+    """Object counts from plans, then label text, then COCO."""
+    plans = table(spark, d, "sample_plans").filter("idx is not null").select(F.concat(F.lit("p"), F.col("idx").cast("string")).alias("stem"), F.col("n_objects"))
+    lines = table(spark, d, "label_lines").select("line_id", "stem", F.col("raw_line").alias("line")).distinct()
+    return datasets.object_count_hints(plans, datasets.line_counts(lines), datasets.coco_counts(table(spark, d, "coco_images"), table(spark, d, "coco_annotations")))
+
+
+def _lines(spark, d, *kinds):
+    return table(spark, d, "label_lines").filter(F.col("file_kind").isin(*kinds)).select("line_id", "split", "stem", "file_kind", "line_no", F.col("raw_line").alias("line")).distinct()
+
+
+def label_file_kinds(spark, d):
+    """Kind of every label file by its lines, counted by folder."""
+    k = ["file_kind", "split", "stem"]
+    safe = _lines(spark, d, "labels", "labels-obb", "labels-seg").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in k[1:]})
+    return labels.file_kind(labels.with_tokens(safe), *k).groupBy("file_kind", "kind").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def segmentation_label_faults(spark, d):
+    """Files, objects and faults of the segmentation folder."""
+    return datasets.segmentation_faults(_lines(spark, d, "labels-seg"))
+
+
+def sample_payloads(spark, d):
+    """Which modalities a sample's shard entry holds."""
+    li = table(spark, d, "lineitem")
+    own = lambda t, c: t.select(F.col(c).alias("stem"))
+    have = {
+        "detect.txt": own(li.filter("l_linestatus = 'F'"), "l_orderkey"), "seg.txt": own(li.filter("l_linestatus = 'O'"), "l_orderkey"),
+        "semantic.png": own(table(spark, d, "documents").filter("text is not null"), "doc_id"), "coco.json": own(table(spark, d, "coco_images"), "id"),
+    }
+    m = datasets.modalities(own(table(spark, d, "orders"), "o_orderkey"), have)
+    return m.groupBy(F.array_join("modalities", ",").alias("modalities")).agg(F.count(F.lit(1)).alias("n"), F.min("stem").alias("first"))
+
+
+def merged_logs(spark, d):
+    """Two logs of different columns under one header."""
+    li = table(spark, d, "lineitem")
+    s = F.col("l_orderkey").cast("string")
+    new = li.filter("l_linestatus = 'O'").select(s.alias("generated_stem"), F.col("l_suppkey").alias("background"), F.col("l_returnflag").alias("label"), F.lit("False").alias("flipped"))
+    old = li.filter("l_linestatus = 'F'").select(s.alias("stem"), F.col("l_suppkey").alias("background"), F.col("l_returnflag").alias("label"), F.concat(F.col("l_partkey").cast("string"), F.lit(".json")).alias("source_json"), F.col("l_linenumber").alias("shape_index"), F.lit("True").alias("flip"))
+    m = datasets.merge_logs([("old", old), ("new set", new)])
+    return m.groupBy("dataset", "stem", "background", "label", "source_json", "shape_index", "flip").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_class_map(spark, d):
+    return datasets.label_class_map(table(spark, d, "part"), "p_type")
+
+
+def finalized_log(spark, d):
+    """The log of the completed tasks' samples, in order."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("idx"), F.col("event_type").alias("status"), "ts", "event_id")
+    done = compose.last_state(e, "idx", ("ts", "event_id")).filter("status = 'purchase'")
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("idx", F.col("o_custkey"))
+    log = datasets.finished_log(rows, done, ["idx", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], [F.col("idx")])
+    return log.select("line", F.col("o_orderkey").cast("string").alias("generated_stem"), F.col("l_suppkey").cast("string").alias("background"), F.col("l_returnflag").alias("label"))
+
+
+def effect_counts(spark, d):
+    """Effects written as JSON and counted again."""
+    e = F.to_json(F.array(F.to_json(F.struct(F.col("l_returnflag").alias("effect"))), F.col("l_linestatus")))
+    return datasets.effect_counts(table(spark, d, "lineitem").select(e.alias("effects")))
+
+
+def counter_maps(spark, d):
+    n = _split_boxes(spark, d).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return datasets.counter_maps(n, "split")
+
+
+def duplicate_examples(spark, d):
+    """Exact duplicates per split with the first ten of them."""
+    dup = similarity.exact_duplicates(v_content(spark, d)).join(v_content(spark, d).select("pos", "split"), "pos")
+    x = datasets.examples(dup, "split", "pos", F.concat(F.col("pos").cast("string"), F.lit("="), F.col("owner").cast("string")))
+    return x.select("split", "n", F.array_join("examples", ",").alias("examples"))
 
 
 def split_leak_sources(spark, d):
@@ -268,16 +396,15 @@ def template_constraints(spark, d):
     a = first.filter("label = 'A'").select("stem", F.col("s.cx").alias("ax"), F.col("s.cy").alias("ay"))
     n = first.filter("label = 'N'").select("stem", F.col("s.cx").alias("bx"), F.col("s.cy").alias("by"))
     j = a.join(n, "stem")
-    ok = (F.col("ax") + 0.05 <= F.col("bx")) & (F.round(g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 9) <= 0.6)
+    ok = (F.col("ax") + 0.05 < F.col("bx")) & (F.round(g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 9) <= 0.6)
     return j.groupBy(ok.alias("satisfied")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def background_cycle(spark, d):
-    """Balanced background plan: every background once per cycle in a seeded order."""
-    p = running(table(spark, d, "supplier"), [F.col("s_suppkey")], [F.floor(F.col("s_suppkey") / 1000)], name="slot")
-    o = running(table(spark, d, "orders").select("o_orderkey").distinct(), [F.col("o_orderkey")], [F.floor(F.col("o_orderkey") / 1000)], name="idx")
-    n = p.count()
-    return o.select(F.pmod("idx", F.lit(n)).alias("slot")).join(p.select("slot", "s_suppkey"), "slot").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n_uses"))
+    """Balanced background plan: every background once a cycle, in an order of the cycle's own."""
+    samples = table(spark, d, "orders").select("o_orderkey").distinct()
+    o = running(samples, [F.col("o_orderkey")], [F.floor(F.col("o_orderkey") / 1000)], name="idx")
+    return planning.background_cycle(o, table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 42).select("o_orderkey", "cycle", "slot", "s_suppkey")
 
 
 def label_first_plan(spark, d):
@@ -305,9 +432,10 @@ def coco_subset(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        label_class_rollup, class_imbalance, label_line_validation, missing_labels, objects_per_image, class_histograms, crowding_max_iou, split_profile_distance, profile_mix,
+        label_class_rollup, class_imbalance, label_line_validation, missing_labels, objects_per_image, class_histograms, crowding_max_iou, split_profile_distance, profile_histograms, coco_profile, coco_object_counts, profile_projection, profile_mix, profile_mix_histograms,
         exact_duplicates, cross_split_exact_leak, phash_bits, phash_band_candidates, cross_split_near_leak, perceptual_diversity, cross_split_embedding_leak, uniqueness_summary, domain_compare, diverse_subset, hard_example_scores,
-        hard_example_topk, fn_fp_by_class, source_reuse, source_components, source_aware_split, split_leak_sources, merge_dense_ids, shard_by_count, shard_by_bytes, coco_validity,
+        hard_example_topk, fn_fp_by_class, source_reuse, source_components, customer_groups, source_aware_split, split_transfer, split_summary, object_count_hints, label_file_kinds, segmentation_label_faults,
+        sample_payloads, merged_logs, label_class_map, finalized_log, effect_counts, counter_maps, duplicate_examples, split_leak_sources, merge_dense_ids, shard_by_count, shard_by_bytes, coco_validity,
         run_state_counts, task_seeds, qa_warnings, visibility_diagnostics, template_constraints, background_cycle, label_first_plan, pending_tasks, coco_subset,
     )
 }

@@ -27,6 +27,10 @@ def _bits(v: str) -> str:
     return f"(WITH RECURSIVE m AS (SELECT list_sort(list_slice({v}, 2, 64))[32] AS x) SELECT x FROM m)"
 
 
+_COCO = """ci AS (SELECT id, max({'w': width, 'h': height}) AS s FROM coco_images WHERE width > 0 AND height > 0 GROUP BY id), cc AS (SELECT id, max(name) AS name FROM coco_categories GROUP BY id),
+ca AS (SELECT id, any_value(image_id) AS image_id, any_value(category_id) AS category_id, any_value(bbox) AS b, any_value(area) AS area FROM coco_annotations GROUP BY id),
+cb AS (SELECT ca.image_id, coalesce(cc.name, CAST(ca.category_id AS VARCHAR)) AS label, (b[1] + b[3] / 2) / s.w AS cx, (b[2] + b[4] / 2) / s.h AS cy, b[3] / s.w AS w, b[4] / s.h AS h,
+  CASE WHEN area > 0 THEN least(1.0, area / greatest(1e-12, b[3] * b[4])) END AS vis FROM ca JOIN ci ON ci.id = ca.image_id LEFT JOIN cc ON cc.id = ca.category_id WHERE len(b) = 4 AND b[1] IS NOT NULL AND b[2] IS NOT NULL AND b[3] > 0 AND b[4] > 0 AND category_id IS NOT NULL)"""
 _PHASH = f"""{_VEC}, ph0 AS (SELECT id AS pos, list_sum(list_transform(v, lambda x, i: CASE WHEN x > list_sort(list_slice(v, 2, 64))[32] THEN CASE WHEN i = 1 THEN -9223372036854775808::HUGEINT ELSE (2::HUGEINT ** (64 - i))::HUGEINT END ELSE 0::HUGEINT END))::BIGINT AS h FROM vec),
 ph AS (SELECT pos, h FROM ph0 UNION ALL SELECT pos + 1000000000, xor(h, ((((511 & pos)::HUGEINT << (pos % 50)::INTEGER) + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT)::BIGINT) FROM ph0 WHERE pos % 5 = 0)"""
 _GRID = "CAST(round_even(greatest(0, least(1, {})) * 255, 0) AS DOUBLE)"
@@ -53,11 +57,7 @@ base AS (SELECT stem, coalesce(gt, 0) AS gt, coalesce(pred, 0) AS pred, coalesce
   FROM img LEFT JOIN agg USING (stem) LEFT JOIN ng USING (stem)),
 sc AS (SELECT *, round(CAST(3 * fn + 2 * fp + low_conf + 1.5 * pen + CASE WHEN gt = 0 THEN fp ELSE 0 END AS DOUBLE), 6) AS score FROM base)
 """
-_COMP = """
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS stem, l_partkey AS source FROM lineitem WHERE l_linenumber = 1 AND l_discount = 0.1),
-nb AS (SELECT DISTINCT a.stem AS x, b.stem AS y FROM e a JOIN e b USING (source)),
-reach AS (SELECT x, y FROM nb UNION SELECT r.x, nb.y FROM reach r JOIN nb ON r.y = nb.x),
-comp AS (SELECT x AS stem, min(y) AS gid FROM reach GROUP BY x)
+_COMP = """WITH comp AS (SELECT o_orderkey AS stem, min(o_orderkey) OVER (PARTITION BY CASE WHEN o_custkey IS NULL THEN 'o' || o_orderkey ELSE 'c' || o_custkey END) AS gid FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders))
 """
 _U = f"WITH {_VEC}, nn AS (SELECT a.id, max({_COS}) AS sim FROM vec a JOIN vec b ON a.id <> b.id GROUP BY a.id), u AS (SELECT greatest(0, least(1, 1 - sim)) AS u, sim FROM nn)"
 
@@ -80,8 +80,27 @@ SELECT kind, n_tokens, CAST(count(*) FILTER (WHERE kind <> 'unreadable') AS BIGI
   p AS (SELECT *, CASE WHEN sum(n) OVER w > 0 THEN CAST(n AS DOUBLE) / sum(n) OVER w ELSE 0 END AS p FROM hist WINDOW w AS (PARTITION BY split, label, metric)),
   t AS (SELECT a.label, a.metric, sum(abs(a.p - b.p)) / 2 AS tv FROM p a JOIN p b ON a.split = 'train' AND b.split = 'val' AND a.label = b.label AND a.metric = b.metric AND a.bin = b.bin GROUP BY ALL),
   c AS (SELECT split, label, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY split) AS p FROM sb WHERE split IN ('train', 'val') GROUP BY split, label),
-  ct AS (SELECT sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) / 2 AS tv FROM (SELECT * FROM c WHERE split = 'train') a FULL JOIN (SELECT * FROM c WHERE split = 'val') b ON a.label = b.label)
-  SELECT 'class' AS metric, round(tv, 9) AS distance FROM ct UNION ALL SELECT metric, round(avg(tv), 9) FROM t GROUP BY metric""",
+  ct AS (SELECT sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) / 2 AS tv FROM (SELECT * FROM c WHERE split = 'train') a FULL JOIN (SELECT * FROM c WHERE split = 'val') b ON a.label = b.label),
+  oc AS (SELECT split, CAST(n AS INTEGER) AS k, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY split) AS p FROM (SELECT img.split, stem, count(box.stem) AS n FROM (SELECT DISTINCT split, stem FROM img) img LEFT JOIN box USING (stem) GROUP BY ALL) WHERE split IN ('train', 'val') GROUP BY split, n),
+  ot AS (SELECT sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) / 2 AS tv FROM (SELECT * FROM oc WHERE split = 'train') a FULL JOIN (SELECT * FROM oc WHERE split = 'val') b ON a.k = b.k)
+  SELECT 'class' AS metric, round(tv, 9) AS distance FROM ct UNION ALL SELECT metric, round(avg(tv), 9) FROM t GROUP BY metric UNION ALL SELECT 'placement', round(avg(tv), 9) FROM t UNION ALL SELECT 'object_count', round(tv, 9) FROM ot""",
+    "profile_histograms": f"""WITH {_BOX}, {_HIST.format(keys='label', src='box', on='cnt.label = g.label')},
+  x AS (SELECT a.stem, a.ord, a.label, round(coalesce(max(CASE WHEN b.ord IS NOT NULL THEN i / greatest(1e-12, a.w * a.h + b.w * b.h - i) END), 0), 9) AS v FROM box a LEFT JOIN box b ON a.stem = b.stem AND a.ord <> b.ord LEFT JOIN LATERAL (SELECT {_IOU} AS i) ON TRUE GROUP BY ALL),
+  o AS (SELECT label, CAST(least(19, floor(least(1 - 1e-12, v) * 20)) AS INTEGER) AS bin, count(*) AS n FROM x GROUP BY ALL)
+  SELECT label, metric, bin, n FROM hist
+  UNION ALL SELECT l.label, 'overlap_iou', CAST(b.bin AS INTEGER), CAST(coalesce(o.n, 0) AS BIGINT) FROM (SELECT DISTINCT label FROM box) l CROSS JOIN range(20) b(bin) LEFT JOIN o ON o.label = l.label AND o.bin = b.bin
+  UNION ALL SELECT l.label, 'visible_shape_fraction', CAST(b.bin AS INTEGER), CAST(0 AS BIGINT) FROM (SELECT DISTINCT label FROM box) l CROSS JOIN range(20) b(bin)""",
+    "coco_profile": f"""WITH {_COCO}, q AS (SELECT label, round(cx, 9) AS cx, round(cy, 9) AS cy, round(w, 9) AS w, round(h, 9) AS h, round(vis, 9) AS vis FROM cb), {_HIST.format(keys='label', src='q', on='cnt.label = g.label')},
+  o AS (SELECT label, CAST(least(19, floor(least(1 - 1e-12, vis) * 20)) AS INTEGER) AS bin, count(*) AS n FROM q WHERE vis IS NOT NULL GROUP BY ALL)
+  SELECT label, metric, bin, n FROM hist UNION ALL SELECT l.label, 'visible_shape_fraction', CAST(b.bin AS INTEGER), CAST(coalesce(o.n, 0) AS BIGINT) FROM (SELECT DISTINCT label FROM q) l CROSS JOIN range(20) b(bin) LEFT JOIN o ON o.label = l.label AND o.bin = b.bin""",
+    "coco_object_counts": f"WITH {_COCO}, n AS (SELECT i.id, count(cb.image_id) AS c FROM (SELECT DISTINCT id FROM coco_images) i LEFT JOIN cb ON cb.image_id = i.id GROUP BY i.id) SELECT CAST(c AS INTEGER) AS n_objects, CAST(count(*) AS BIGINT) AS n_images FROM n GROUP BY c",
+    "profile_projection": f"WITH {_BOX}, c AS (SELECT label, count(*) AS n FROM box WHERE label IN ('A', 'R', 'none') GROUP BY label) SELECT label, CAST(n AS BIGINT) AS n, round(CAST(n AS DOUBLE) / sum(n) OVER (), 9) AS p FROM c",
+    "profile_mix_histograms": f"""WITH {_SB}, {_HIST.format(keys='split, label', src='sb', on='cnt.split = g.split AND cnt.label = g.label')},
+  dom AS (SELECT * FROM hist WHERE split IN ('train', 'val')), sz AS (SELECT split, label, sum(n) AS n FROM dom WHERE metric = 'center_x' GROUP BY ALL),
+  cw AS (SELECT split, label, CASE split WHEN 'train' THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END * n / sum(n) OVER (PARTITION BY split) AS cw FROM sz),
+  m AS (SELECT label, metric, bin, sum(cw * CASE WHEN t > 0 THEN n / t ELSE 0 END) AS acc FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY split, label, metric) AS DOUBLE) AS t FROM dom) JOIN cw USING (split, label) GROUP BY ALL),
+  k AS (SELECT label, greatest(1, round_even(sum(cw) * 100000, 0)) AS c FROM cw GROUP BY label)
+  SELECT label, metric, bin, CAST(round_even(round(c * acc / sum(acc) OVER (PARTITION BY label, metric), 6), 0) AS BIGINT) AS n FROM m JOIN k USING (label)""",
     "profile_mix": f"""WITH {_SB}, c AS (SELECT split, label, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY split) AS p FROM sb GROUP BY split, label),
   m AS (SELECT label, sum(p * CASE split WHEN 'train' THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END) AS p FROM c WHERE split IN ('train', 'val') GROUP BY label)
   SELECT label, round(p, 9) AS probability, CAST(greatest(1, round_even(p * 100000, 0)) AS BIGINT) AS n FROM m WHERE p > 0""",
@@ -111,7 +130,7 @@ SELECT kind, n_tokens, CAST(count(*) FILTER (WHERE kind <> 'unreadable') AS BIGI
     "fn_fp_by_class": _HARD + """, f AS (SELECT g.label, 1 AS fn, 0 AS fp FROM gt g ANTI JOIN (SELECT stem, gi FROM m WHERE gi >= 0) u ON u.stem = g.stem AND u.gi = g.gi UNION ALL SELECT label, 0, 1 FROM m WHERE gi < 0 AND conf >= 0.25)
   SELECT label, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp FROM f GROUP BY label""",
     "source_reuse": "WITH r AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n, CAST(max(n) AS BIGINT) AS max_images, CAST(sum(n) AS BIGINT) AS total FROM r",
-    "source_components": _COMP + "SELECT stem, gid FROM comp",
+    "customer_groups": _COMP + "SELECT stem, gid FROM comp",
     "source_aware_split": _COMP + """, g AS (SELECT gid, count(*) AS size, substr(sha256('42:' || gid), 1, 16) AS h FROM comp GROUP BY gid),
   r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size, h, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, round_even(sum(size) OVER () * 0.2::DOUBLE, 0) AS target FROM g)
   SELECT gid, CAST(size AS BIGINT) AS size, CASE WHEN before < target AND size <= 2 * (target - before) THEN 'val' ELSE 'train' END AS split FROM r""",
@@ -146,9 +165,55 @@ SELECT n.category_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(image_id) AS BIGIN
     "visibility_diagnostics": f"""WITH {_BOX}, v AS (SELECT label, round((greatest(0, least(1, cx + w / 2)) - greatest(0, least(1, cx - w / 2))) * (greatest(0, least(1, cy + h / 2)) - greatest(0, least(1, cy - h / 2))) / (w * h), 9) AS v FROM box)
   SELECT label, CAST(least(9, greatest(0, floor(least(1 - 1e-12, greatest(0, v)) * 10))) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(v), 6) AS mean, round(min(v), 6) AS least FROM v GROUP BY ALL""",
     "template_constraints": f"""WITH {_IMG}, {_BOX}, f AS (SELECT stem, label, arg_min(cx, ord) AS cx, arg_min(cy, ord) AS cy FROM box WHERE stem IN (SELECT stem FROM img) GROUP BY ALL)
-  SELECT a.cx + 0.05 <= b.cx AND round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 9) <= 0.6 AS satisfied, CAST(count(*) AS BIGINT) AS n FROM f a JOIN f b ON a.stem = b.stem AND a.label = 'A' AND b.label = 'N' GROUP BY 1""",
-    "background_cycle": """WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS slot, count(*) OVER () AS n FROM supplier), o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM (SELECT DISTINCT o_orderkey FROM orders))
-  SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n_uses FROM p JOIN o ON o.idx % p.n = p.slot GROUP BY s_suppkey""",
+  SELECT a.cx + 0.05 < b.cx AND round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 9) <= 0.6 AS satisfied, CAST(count(*) AS BIGINT) AS n FROM f a JOIN f b ON a.stem = b.stem AND a.label = 'A' AND b.label = 'N' GROUP BY 1""",
+    "background_cycle": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM (SELECT DISTINCT o_orderkey FROM orders)), k AS (SELECT count(DISTINCT s_suppkey) AS n FROM supplier),
+  c AS (SELECT DISTINCT idx // n AS cycle FROM o, k), p AS (SELECT cycle, s_suppkey, row_number() OVER (PARTITION BY cycle ORDER BY sha256('42:' || cycle || ':' || s_suppkey), s_suppkey) - 1 AS slot FROM c CROSS JOIN (SELECT DISTINCT s_suppkey FROM supplier))
+  SELECT o.o_orderkey, CAST(o.idx // n AS BIGINT) AS cycle, CAST(o.idx % n AS BIGINT) AS slot, p.s_suppkey FROM o, k JOIN p ON p.cycle = o.idx // n AND p.slot = o.idx % n""",
+    "object_count_hints": """WITH f AS (SELECT 'p' || idx AS stem, max(n_objects) AS n FROM sample_plans WHERE idx IS NOT NULL AND n_objects IS NOT NULL GROUP BY 1),
+  t AS (SELECT stem, count(*) FILTER (WHERE trim(replace(coalesce(raw_line, ''), chr(9), ' '), ' ' || chr(10) || chr(13)) <> '') AS n FROM (SELECT DISTINCT line_id, stem, raw_line FROM label_lines WHERE stem IS NOT NULL) GROUP BY stem),
+  i AS (SELECT id, min(stem) AS stem FROM coco_images WHERE stem IS NOT NULL GROUP BY id), c AS (SELECT i.stem, count(a.id) AS n FROM i LEFT JOIN (SELECT DISTINCT id, image_id FROM coco_annotations) a ON a.image_id = i.id GROUP BY i.stem),
+  u AS (SELECT stem, n, 1 AS p FROM f UNION ALL SELECT stem, n, 2 FROM t UNION ALL SELECT stem, n, 3 FROM c)
+  SELECT stem, CAST(arg_min(n, p) AS BIGINT) AS n_objects, CAST(min(p) AS INTEGER) AS source FROM u GROUP BY stem""",
+    "label_file_kinds": """WITH l AS (SELECT DISTINCT line_id, split, stem, file_kind, line_no, raw_line FROM label_lines WHERE file_kind IN ('labels', 'labels-obb', 'labels-seg')),
+  t AS (SELECT *, regexp_extract_all(raw_line, '[^ \t\r\n]+') AS tk FROM l WHERE raw_line IS NOT NULL),
+  n AS (SELECT *, len(tk) AS k, len(list_filter(tk, lambda x: TRY_CAST(x AS DOUBLE) IS NULL OR isnan(TRY_CAST(x AS DOUBLE)) OR isinf(TRY_CAST(x AS DOUBLE)))) = 0 AS ok FROM t WHERE len(tk) > 0),
+  g AS (SELECT file_kind, split, stem, CASE WHEN k = 5 THEN 'detect' WHEN k = 9 THEN 'obb' WHEN k >= 7 AND k % 2 = 1 THEN 'seg' ELSE 'unknown' END AS kind, count(*) AS n, min(line_no) AS first FROM n WHERE ok GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY file_kind, split, stem ORDER BY n DESC, first NULLS LAST) AS rn FROM g)
+  SELECT file_kind, kind, CAST(count(*) AS BIGINT) AS n_files FROM r WHERE rn = 1 GROUP BY ALL""",
+    "sample_payloads": """WITH i AS (SELECT DISTINCT o_orderkey AS stem FROM orders), d AS (SELECT DISTINCT l_orderkey AS stem FROM lineitem WHERE l_linestatus = 'F'), s AS (SELECT DISTINCT l_orderkey AS stem FROM lineitem WHERE l_linestatus = 'O'),
+  c AS (SELECT DISTINCT id AS stem FROM coco_images), m AS (SELECT DISTINCT doc_id AS stem FROM documents WHERE text IS NOT NULL)
+  SELECT array_to_string(list_filter([CASE WHEN d.stem IS NOT NULL THEN 'detect.txt' END, CASE WHEN s.stem IS NOT NULL THEN 'seg.txt' END, CASE WHEN m.stem IS NOT NULL THEN 'semantic.png' END, CASE WHEN c.stem IS NOT NULL THEN 'coco.json' END], lambda x: x IS NOT NULL), ',') AS modalities,
+  CAST(count(*) AS BIGINT) AS n, min(i.stem) AS first FROM i LEFT JOIN d USING (stem) LEFT JOIN s USING (stem) LEFT JOIN c USING (stem) LEFT JOIN m USING (stem) GROUP BY 1""",
+    "merged_logs": """WITH l AS (SELECT l_orderkey AS s, l_suppkey AS b, l_partkey AS p, l_linenumber AS k, l_returnflag AS lb, l_linestatus AS st FROM lineitem)
+  SELECT CASE st WHEN 'F' THEN 'old' ELSE 'new set' END AS dataset, CASE st WHEN 'F' THEN '01_old_' ELSE '02_new_set_' END || s AS stem, CAST(b AS VARCHAR) AS background, lb AS label, CASE st WHEN 'F' THEN p || '.json' ELSE '' END AS source_json,
+    CASE st WHEN 'F' THEN CAST(k AS VARCHAR) ELSE '0' END AS shape_index, CASE st WHEN 'F' THEN 'True' ELSE 'False' END AS flip, CAST(count(*) AS BIGINT) AS n FROM l WHERE st IN ('F', 'O') GROUP BY ALL""",
+    "split_transfer": _COMP.replace("WITH comp", "WITH comp0") + """, g AS (SELECT gid, count(*) AS size, substr(sha256('42:' || gid), 1, 16) AS h FROM comp0 GROUP BY gid),
+  r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size, h, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, round_even(sum(size) OVER () * 0.2::DOUBLE, 0) AS target FROM g),
+  v AS (SELECT stem FROM comp0 JOIN r USING (gid) WHERE before < target AND size <= 2 * (target - before)),
+  f AS (SELECT DISTINCT o_orderkey AS stem, 'images' AS modality, '.jpg' AS ext FROM orders UNION SELECT DISTINCT l_orderkey, 'labels', '.txt' FROM lineitem)
+  SELECT modality, CASE WHEN stem IN (SELECT stem FROM v) THEN 'val' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n, min('/d/' || modality || '/' || CASE WHEN stem IN (SELECT stem FROM v) THEN 'val' ELSE 'train' END || '/' || stem || ext) AS first FROM f GROUP BY ALL""",
+    "split_summary": _COMP.replace("WITH comp", "WITH comp0") + """, g AS (SELECT gid, count(*) AS size, substr(sha256('42:' || gid), 1, 16) AS h FROM comp0 GROUP BY gid),
+  r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size, h, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, round_even(sum(size) OVER () * 0.2::DOUBLE, 0) AS target FROM g),
+  s AS (SELECT *, before < target AND size <= 2 * (target - before) AS val FROM r)
+  SELECT CAST(sum(size) AS BIGINT) AS total_images, CAST(count(*) AS BIGINT) AS source_groups, CAST(sum(size) FILTER (WHERE NOT val) AS BIGINT) AS train, CAST(coalesce(sum(size) FILTER (WHERE val), 0) AS BIGINT) AS val, CAST(0.2 AS DOUBLE) AS target_val_ratio,
+    round(CAST(coalesce(sum(size) FILTER (WHERE val), 0) AS DOUBLE) / sum(size), 9) AS actual_val_ratio, CAST(0 AS BIGINT) AS source_leaks FROM s""",
+    "label_class_map": "WITH l AS (SELECT DISTINCT trim(p_type) AS label FROM part WHERE trim(coalesce(p_type, '')) <> '') SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS class_id FROM l",
+    "finalized_log": """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), done AS (SELECT user_id FROM r WHERE rn = 1 AND event_type = 'purchase' AND user_id IS NOT NULL)
+  SELECT CAST(row_number() OVER (ORDER BY o_custkey, o_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS line, CAST(o_orderkey AS VARCHAR) AS generated_stem, CAST(l_suppkey AS VARCHAR) AS background, l_returnflag AS label FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT user_id FROM done)""",
+    "effect_counts": """WITH e AS (SELECT unnest([l_returnflag, l_linestatus]) AS effect FROM lineitem) SELECT effect, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY count(*) DESC, effect) AS place FROM e WHERE effect IS NOT NULL GROUP BY effect""",
+    "counter_maps": f"WITH {_SB}, c AS (SELECT split, label, count(*) AS n FROM sb GROUP BY ALL) SELECT split, '{{' || string_agg('\"' || label || '\":' || n, ',' ORDER BY label) || '}}' AS counts FROM c GROUP BY split",
+    "duplicate_examples": f"""WITH {_DOC}, f AS (SELECT digest, min(pos) AS owner FROM doc WHERE digest IS NOT NULL GROUP BY digest), x AS (SELECT split, pos, owner, row_number() OVER (PARTITION BY split ORDER BY pos) AS rn FROM doc JOIN f USING (digest) WHERE pos > owner)
+  SELECT split, CAST(max(c) AS BIGINT) AS n, array_to_string(list(pos || '=' || owner ORDER BY pos) FILTER (WHERE rn <= 10), ',') AS examples FROM (SELECT *, count(*) OVER (PARTITION BY split) AS c FROM x) GROUP BY split""",
+    "segmentation_label_faults": """WITH l AS (SELECT DISTINCT line_id, split, stem, line_no, raw_line FROM label_lines WHERE file_kind = 'labels-seg'),
+  t AS (SELECT *, regexp_extract_all(coalesce(raw_line, ''), '[^ \t\r\n]+') AS tk FROM l),
+  n AS (SELECT *, len(tk) AS k, len(list_filter(tk, lambda x: TRY_CAST(x AS DOUBLE) IS NULL OR isnan(TRY_CAST(x AS DOUBLE)) OR isinf(TRY_CAST(x AS DOUBLE)))) = 0 AS ok, list_transform(tk[2:], lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM t WHERE len(tk) > 0),
+  m AS (SELECT split, stem, line_no, ok, CASE WHEN k = 5 THEN 'detect' WHEN k = 9 THEN 'obb' WHEN k >= 7 AND k % 2 = 1 THEN 'seg' ELSE 'unknown' END AS kind,
+    ok AND CASE WHEN k = 5 THEN v[1] BETWEEN 0 AND 1 AND v[2] BETWEEN 0 AND 1 AND v[3] > 0 AND v[3] <= 1 AND v[4] > 0 AND v[4] <= 1 WHEN k = 9 OR (k >= 7 AND k % 2 = 1) THEN len(list_filter(v, lambda x: x < 0 OR x > 1)) = 0 ELSE FALSE END AS valid FROM n),
+  f AS (SELECT split, stem, count(*) FILTER (WHERE ok) AS objects, count(*) FILTER (WHERE NOT valid) AS bad FROM m GROUP BY ALL),
+  g AS (SELECT split, stem, kind, count(*) AS n, min(line_no) AS first FROM m WHERE ok GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY split, stem ORDER BY n DESC, first NULLS LAST) AS rn FROM g),
+  a AS (SELECT DISTINCT split, stem FROM l)
+  SELECT CAST(count(*) AS BIGINT) AS label_files, CAST(sum(coalesce(objects, 0)) AS BIGINT) AS objects, CAST(sum(coalesce(bad, 0) + CASE WHEN r.kind IS NOT NULL AND r.kind <> 'seg' THEN 1 ELSE 0 END) AS BIGINT) AS invalid
+  FROM a LEFT JOIN f ON f.split IS NOT DISTINCT FROM a.split AND f.stem IS NOT DISTINCT FROM a.stem LEFT JOIN r ON r.rn = 1 AND r.split IS NOT DISTINCT FROM a.split AND r.stem IS NOT DISTINCT FROM a.stem""",
     "pending_tasks": """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
   SELECT DISTINCT c_custkey AS idx FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM r WHERE rn = 1 AND event_type = 'purchase' AND user_id IS NOT NULL)""",
     "coco_subset": """WITH c AS (SELECT DISTINCT id FROM coco_images WHERE (length(stem) + id) % 5 = 0),
