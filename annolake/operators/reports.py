@@ -59,19 +59,42 @@ def quality(spark: SparkSession, root: str, threshold: int = 6, embedding_thresh
     v = f.filter(F.col("vec").isNotNull()).select(F.col("pos").alias("id"), "vec", "split")
     u = similarity.uniqueness(v.select("id", "vec")).first().asDict()
     leak = similarity.cross_split_exact(f, SPLIT_ORDER).count()
-    near = sum(similarity.nearest(v.filter(F.col("split") == b), v.filter(F.col("split") == a)).filter(F.col("sim") >= embedding_threshold).count() for a, b in (("train", "val"), ("train", "test"), ("val", "test")))
-    dup, ph = similarity.exact_duplicates(f).count(), similarity.near_hashes(f.select("pos", "phash"), threshold).count()
-    report |= {"unreadable": f.filter("phash is null").count(), "duplicates": dup, "near_duplicates": max(0, ph - dup), "cross_split_exact": leak, "cross_split_embedding": near, "diversity": u}
+    near = similarity.cross_split_nearest(v, SPLIT_ORDER, embedding_threshold).select("id").distinct().count()
+    copies = similarity.exact_duplicates(f)
+    # a near duplicate is no exact copy of any earlier picture
+    ph = similarity.near_hashes(f.select("pos", "phash"), threshold).join(copies.select("pos"), "pos", "left_anti").count()
+    dup, perceptual = copies.count(), similarity.cross_split_near(f, SPLIT_ORDER, threshold).count()
+    report |= {
+        "unreadable": f.filter("phash is null").count(), "duplicates": dup, "near_duplicates": ph, "cross_split_exact": leak, "cross_split_near": perceptual, "cross_split_embedding": near,
+        "diversity": u, "perceptual": similarity.perceptual_diversity(f).first().asDict(),
+    }
     f.unpersist()
-    rules = (("unreadable images", report["unreadable"]), ("duplicate images", dup), ("cross-split exact leakage", leak), ("cross-split embedding leakage", near))
+    rules = (("unreadable images", report["unreadable"]), ("duplicate images", dup), ("near-duplicate images", ph), ("cross-split exact leakage", leak), ("cross-split perceptual leakage", perceptual), ("cross-split embedding leakage", near))
     report["warnings"] += [w for w, bad in rules if bad]
     return report | {"health": "warning" if report["warnings"] else "ok"}
 
 
+def drift_warnings(distances: dict[str, float], images: int, target_images: int) -> list[str]:
+    """Warnings of drift from a target profile, for at least 50 images on both sides."""
+    if min(images, target_images) < 50:
+        return []
+    rules = (("class distribution drift", "class", 0.20), ("placement drift", "placement", 0.25))
+    return [f"{t}: {distances[k]:.3f}" for t, k, most in rules if (distances.get(k) or 0.0) > most]
+
+
+def recommendations(distances: dict[str, float | None], centroid: float | None = None, nearest: float | None = None) -> list[str]:
+    """What two data sets' distances suggest."""
+    d = {k: v or 0.0 for k, v in distances.items()}
+    rules = (
+        ("rebalance classes", d.get("class", 0.0) > 0.15), ("revise placement", d.get("placement", 0.0) > 0.20), ("revise crowding", d.get("overlap_iou", 0.0) > 0.20),
+        ("close the gap in appearance", centroid is not None and centroid < 0.90), ("look for leakage", nearest is not None and nearest > 0.995),
+    )
+    return [t for t, bad in rules if bad]
+
+
 def compare(spark: SparkSession, a: str, b: str) -> dict:
     """Distances of two data sets' label distributions, with recommendations."""
-    rows = {r["metric"]: r["distance"] for r in profile.compare(*(boxes_of(labels.with_tokens(readers.read_label_lines(spark, x))) for x in (a, b))).collect()}
-    placement = [v for k, v in rows.items() if k != "class"]
-    mean = sum(placement) / len(placement) if placement else None
-    advice = [t for t, bad in (("rebalance classes", rows.get("class", 0) > 0.15), ("revise placement", mean is not None and mean > 0.20)) if bad]
-    return {"class_distance": rows.get("class"), "placement_distance": mean, "metrics": rows, "recommendations": advice}
+    boxes = [profile.in_context(boxes_of(labels.with_tokens(readers.read_label_lines(spark, x)))) for x in (a, b)]
+    images = tuple(readers.list_images(spark, x) for x in (a, b))
+    rows = {r["metric"]: r["distance"] for r in profile.compare(*boxes, images=images).collect()}
+    return {"class_distance": rows.get("class"), "placement_distance": rows.get("placement"), "metrics": rows, "recommendations": recommendations(rows)}

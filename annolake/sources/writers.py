@@ -1,19 +1,28 @@
-"""Sinks: label lines, class files, COCO documents, tar shards, JSON reports."""
+"""Sinks: label lines, class files, COCO documents, tar shards, cut-outs, reports.
+
+Files go through ``store``, written by the executors where there is one per sample: roots are URIs of
+a shared store on a cluster. A tar shard or a label file is one file by definition and made by one task.
+"""
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import html
 import io
 import json
-import os
 import tarfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.functions import pixels as px
+from annolake.sources import store
+from annolake.sources.store import write_json  # noqa: F401
+
 
 def detect_line(class_id: Column, cx: Column, cy: Column, w: Column, h: Column) -> Column:
     """``class cx cy w h`` with six decimals."""
@@ -35,53 +44,48 @@ def write_label_files(lines: DataFrame, root: str, modality: str = "labels") ->
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for split, stem, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                folder = os.path.join(root, modality, split)
-                os.makedirs(folder, exist_ok=True)
-                tmp = os.path.join(folder, f".{stem}.{os.getpid()}.tmp")
-                with open(tmp, "w", encoding="utf-8") as f:
-                    f.write(text + "\n" if text else "")
-                os.replace(tmp, os.path.join(folder, f"{stem}.txt"))
+                store.write_text(f"{root}/{modality}/{split}/{stem}.txt", text + "\n" if text else "")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
     per.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
-def write_json(path: str, payload: object) -> None:
-    """A JSON document, written beside its place and renamed."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(payload, f, ensure_ascii=False, indent=2, sort_keys=True, default=str)
-    os.replace(f"{path}.tmp", path)
-
-
-def write_classes(root: str, classes: dict[int, str]) -> None:
-    """classes.txt, data.yaml and semantic_classes.json (pixel value = class + 1)."""
-    os.makedirs(root, exist_ok=True)
-    with open(os.path.join(root, "classes.txt"), "w", encoding="utf-8") as f:
-        f.writelines(f"{i}: {n}\n" for i, n in sorted(classes.items()))
-    with open(os.path.join(root, "data.yaml"), "w", encoding="utf-8") as f:
-        f.write("path: .\ntrain: images/train\nval: images/val\nnames:\n" + "".join(f"  {i}: {json.dumps(n, ensure_ascii=False)}\n" for i, n in sorted(classes.items())))
-    write_json(os.path.join(root, "semantic_classes.json"), {"0": "background"} | {str(i + 1): n for i, n in classes.items()})
+def write_classes(root: str, classes: dict[int, str], train: str = "images/train", val: str = "images/val", path: str = ".") -> None:
+    """classes.txt, data.yaml and semantic_classes.json (pixel value = class + 1), K4 and K5."""
+    own = sorted(classes.items())
+    store.write_text(f"{root}/classes.txt", "".join(f"{i}: {n}\n" for i, n in own))
+    store.write_text(f"{root}/data.yaml", f"path: {path}\ntrain: {train}\nval: {val}\nnames:\n" + "".join(f"  {i}: {json.dumps(n, ensure_ascii=False)}\n" for i, n in own))
+    write_json(f"{root}/semantic_classes.json", {"0": "background"} | {str(i + 1): n for i, n in own})
 
 
 def write_coco(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> None:
-    """A COCO document, rows streamed in id order so that the driver holds one partition at a time."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write("{")
+    """A COCO document, one file in order of the ids (K7, K9). The rows are turned into text and
+    sorted by the executors, which write a piece each; the driver only joins the pieces, one at a time."""
+    spark, side = images.sparkSession, f"{path}.pieces"
+    fs_, place = store._split(path)
+    _, pieces = store._split(side)
+    if "/" in place:
+        fs_.create_dir(place.rpartition("/")[0], recursive=True)
+    with fs_.open_output_stream(f"{place}.tmp") as f:
+        f.write(b"{")
         for k, (name, df) in enumerate((("images", images), ("annotations", annotations), ("categories", categories))):
-            f.write(f'{", " if k else ""}"{name}": [')
-            rows = df.orderBy("id").select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator()
-            for i, r in enumerate(rows):
-                f.write((",\n" if i else "\n") + r["j"])
-            f.write("]")
-        f.write("}")
-    os.replace(f"{path}.tmp", path)
+            f.write(f'{", " if k else ""}"{name}": ['.encode())
+            df.select("id", F.to_json(F.struct(*df.columns)).alias("j")).orderBy("id").select("j").write.mode("overwrite").text(f"{side}/{name}")
+            first = True
+            for i in sorted((i for i in store.entries(f"{side}/{name}") if i.base_name.startswith("part-")), key=lambda i: i.base_name):
+                text = store.read_bytes(f"{side}/{name}/{i.base_name}").rstrip(b"\n")
+                if text:
+                    f.write((b"\n" if first else b",\n") + text.replace(b"\n", b",\n"))
+                    first = False
+            f.write(b"]")
+        f.write(b"}")
+    fs_.move(f"{place}.tmp", place)
+    fs_.delete_dir(pieces)
 
 
 def write_shards(samples: DataFrame, root: str, split: str) -> DataFrame:
     """Tar shards of (shard, stem, suffix, data), each byte-for-byte the same for the same samples;
-    gives the manifest (file, samples, bytes, sha256). A shard is written by the task that holds it."""
+    gives the manifest (file, samples, bytes, sha256), K11. A shard is written by the task that holds it."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tar, buf, stems = None, None, None, set()
@@ -89,10 +93,7 @@ def write_shards(samples: DataFrame, root: str, split: str) -> DataFrame:
         def close() -> pa.RecordBatch:
             tar.close()
             raw, name = buf.getvalue(), f"{split}-{now:06d}.tar"
-            os.makedirs(root, exist_ok=True)
-            with open(os.path.join(root, f"{name}.{os.getpid()}.tmp"), "wb") as f:
-                f.write(raw)
-            os.replace(os.path.join(root, f"{name}.{os.getpid()}.tmp"), os.path.join(root, name))
+            store.write_bytes(f"{root}/{name}", raw)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(stems)], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([hashlib.sha256(raw).hexdigest()])], names=["file", "samples", "bytes", "sha256"])
 
         for b in batches:
@@ -103,7 +104,7 @@ def write_shards(samples: DataFrame, root: str, split: str) -> DataFrame:
                     now, buf, stems = shard, io.BytesIO(), set()
                     tar = tarfile.open(fileobj=buf, mode="w")
                 info = tarfile.TarInfo(f"{stem}.{suffix}")
-                info.size, info.mtime, info.mode = len(data), 0, 0o444
+                info.size, info.mtime, info.mode = len(data), 0, 0o444  # fixed values of the shards' headers
                 tar.addfile(info, io.BytesIO(data))
                 stems.add(stem)
         if tar is not None:
@@ -113,10 +114,108 @@ def write_shards(samples: DataFrame, root: str, split: str) -> DataFrame:
     return rows.mapInArrow(write, "file string, samples bigint, bytes bigint, sha256 string")
 
 
-def report_html(title: str, payload: dict) -> str:
-    """A plain table of a report's figures."""
-    rows = "".join(f"<tr><th>{html.escape(str(k))}</th><td>{html.escape(json.dumps(v, ensure_ascii=False, default=str))}</td></tr>" for k, v in payload.items())
-    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{rows}</table>"
+def write_log(root: str, name: str, rows: DataFrame) -> None:
+    """A finished or merged log as CSV files with a header in a folder of that name."""
+    rows.write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
+
+
+def labelme_document(shapes: list[dict], image_path: str, height: int, width: int, version: str = "4.5.6") -> dict:
+    """A LabelMe document without a picture inside."""
+    own = [
+        {
+            "label": str(s.get("label") or "object"), "score": s.get("score"), "points": [[float(x), float(y)] for x, y in s.get("points") or []], "group_id": s.get("group_id"),
+            "shape_type": str(s.get("shape_type") or "polygon"), "description": str(s.get("description") or ""), "flags": dict(s.get("flags") or {}),
+        }
+        for s in shapes
+    ]
+    return {"version": version, "flags": {}, "shapes": own, "imagePath": str(image_path), "imageData": None, "imageHeight": int(height), "imageWidth": int(width)}
+
+
+def write_cutouts(assets: DataFrame, root: str) -> int:
+    """Every asset (asset_id, label, height, width, bgra) as PNG under its label."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, label, h, w, data in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                store.write_bytes(f"{root}/{label}/{i}.png", px.encode_png(np.frombuffer(data, np.uint8).reshape(h, w, 4)))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return assets.select("asset_id", "label", "height", "width", "bgra").mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_asset_bundle(root: str, name: str, bgr: np.ndarray, masks: dict[str, np.ndarray], facts: dict) -> dict:
+    """An object's files: foreground, its masks and what is known of it (K20). The clean background
+    needs inpainting and is not made."""
+    from annolake.functions.masks import foreground
+
+    final = masks.get("edited", masks.get("auto"))
+    store.write_bytes(f"{root}/{name}/foreground.png", px.encode_png(foreground(bgr, final, 1, 2)))
+    for kind, m in masks.items():
+        store.write_bytes(f"{root}/{name}/mask_{kind}.png", px.encode_png((m * 255).astype(np.uint8)))
+    out = {"version": 1, "name": name, "height": bgr.shape[0], "width": bgr.shape[1], "masks": sorted(masks), "bbox": px.mask_bbox(final), "pixels": int(final.sum())} | facts
+    write_json(f"{root}/{name}/asset.json", out)
+    return out
+
+
+def semantic_png(mask: np.ndarray) -> bytes:
+    """A class mask as PNG, with 16 bits where a value needs them (K6)."""
+    return px.encode_png(mask.astype(np.uint16 if mask.size and mask.max() > 255 else np.uint8))
+
+
+def preview(img: np.ndarray, boxes: list[tuple[int, int, int, int]], color: tuple[int, int, int] = (60, 200, 60)) -> np.ndarray:
+    """The picture with the boxes' frames drawn on it."""
+    out = img.copy()
+    h, w = out.shape[:2]
+    for x1, y1, x2, y2 in boxes:
+        x1, y1, x2, y2 = max(0, x1), max(0, y1), min(w, x2), min(h, y2)
+        if x1 < x2 and y1 < y2:
+            for rows, cols in ((slice(y1, y1 + 1), slice(x1, x2)), (slice(y2 - 1, y2), slice(x1, x2)), (slice(y1, y2), slice(x1, x1 + 1)), (slice(y1, y2), slice(x2 - 1, x2))):
+                out[rows, cols] = color
+    return out
+
+
+def write_hard_examples(root: str, report: dict, rows: list[dict], profile: dict | None = None) -> dict:
+    """The hard-example report as JSON, CSV, HTML and lists of images, with the images without objects
+    in which something was seen, and the profile of the hard ones (K14). ``rows`` are the top ones."""
+    fields = ["stem", "score", "gt", "pred", "fn", "fp", "low_conf", "poor_loc", "mean_iou", "mean_conf", "reasons"]
+    text = io.StringIO()
+    w = csv.DictWriter(text, fields, extrasaction="ignore", lineterminator="\n")
+    w.writeheader()
+    w.writerows(r | {"reasons": ";".join(r.get("reasons") or [])} for r in rows)
+    negatives = [str(r["stem"]) for r in rows if r["gt"] == 0 and r["fp"] > 0]
+    lines = lambda xs: "".join(f"{x}\n" for x in xs)
+    write_json(f"{root}/hard_examples.json", report | {"hard_examples": rows})
+    store.write_text(f"{root}/hard_examples.csv", "\ufeff" + text.getvalue())
+    store.write_text(f"{root}/hard_examples.txt", lines(str(r["stem"]) for r in rows))
+    store.write_text(f"{root}/hard_negative_backgrounds.txt", lines(negatives))
+    store.write_text(f"{root}/hardmine_dashboard.html", report_html("Hard examples", report, rows[:100], fields))
+    if profile:
+        write_json(f"{root}/hard_distribution_profile.json", profile)
+    return report | {"hard_negative_count": len(negatives)}
+
+
+def report_html(title: str, payload: dict, rows: list[dict] | None = None, columns: list[str] | None = None) -> str:
+    """A report as one page: a card a figure, a bar chart for every counter, a table of rows."""
+    esc = lambda v: html.escape(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str))
+    cards, charts = [], []
+    for k, v in payload.items():
+        if isinstance(v, dict) and v and all(isinstance(x, int | float) and not isinstance(x, bool) for x in v.values()):
+            most = max(map(abs, v.values())) or 1
+            bars = "".join(f"<tr><th>{esc(str(n))}</th><td><div style='background:#48a;width:{abs(x) / most * 260:.0f}px'>&nbsp;</div></td><td>{esc(x)}</td></tr>" for n, x in sorted(v.items(), key=lambda i: (-i[1], str(i[0]))))
+            charts.append(f"<h2>{esc(str(k))}</h2><table>{bars}</table>")
+        else:
+            cards.append(f"<tr><th>{esc(str(k))}</th><td>{esc(v)}</td></tr>")
+    table = ""
+    if rows:
+        columns = columns or list(rows[0])
+        table = "<table><tr>" + "".join(f"<th>{esc(c)}</th>" for c in columns) + "</tr>" + "".join("<tr>" + "".join(f"<td>{esc(r.get(c))}</td>" for c in columns) + "</tr>" for r in rows) + "</table>"
+    return f"<!doctype html><meta charset=utf-8><title>{esc(title)}</title><h1>{esc(title)}</h1><table>{''.join(cards)}</table>{''.join(charts)}{table}"
+
+
+def write_report(root: str, name: str, payload: dict, rows: list[dict] | None = None) -> None:
+    """A report as JSON and as a page."""
+    write_json(f"{root}/{name}.json", payload | ({"rows": rows} if rows else {}))
+    store.write_text(f"{root}/{name}.html", report_html(name, payload, rows))
 
 
 def subset(images: DataFrame, selected: DataFrame, *modalities: DataFrame, key: str = "stem") -> list[DataFrame]:

@@ -272,15 +272,23 @@ def test_run_state_stream(spark, tmp_path):
     src = tmp_path / "in"
     e = spark.createDataFrame([(1, "running", 0, 1), (1, "completed", 3, 2), (2, "failed", 0, 1)], "idx bigint, status string, objects bigint, updated_at bigint")
     e.write.parquet(str(src / "a"))
-    state = RunState(spark, f"file://{tmp_path}/state")
+    state = RunState(spark, f"file://{tmp_path}/state", "idx bigint, status string, objects bigint, updated_at bigint")
+    seen = []
     stream = lambda: spark.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(str(src))
     state.follow(stream(), str(tmp_path / "cp")).awaitTermination(60)
     spark.createDataFrame([(2, "completed", 5, 4), (1, "running", 0, 1)], e.schema).write.parquet(str(src / "b"))
-    state.follow(stream(), str(tmp_path / "cp")).awaitTermination(60)
+    state.follow(stream(), str(tmp_path / "cp"), seen.append).awaitTermination(60)
     got = state.read()
     assert {(r["idx"], r["status"]) for r in got.collect()} == {(1, "completed"), (2, "completed")}
     assert compose.state_counts(got).first()["objects"] == 8
-    assert compose.pending(spark.range(4).withColumnRenamed("id", "idx"), got).count() == 2
+    assert compose.pending(spark.range(4).withColumnRenamed("id", "idx"), got).count() == 2 and seen == [{"completed": 2}]
+    # a replayed batch changes nothing, a new one only the buckets it touches
+    before = state.table.manifest()
+    state.merge(e, 1)
+    assert state.table.manifest() == before
+    state.merge(spark.createDataFrame([(7, "failed", 0, 9)], e.schema), 2)
+    now = state.table.manifest()
+    assert now["version"] == before["version"] + 1 and all(x in now["entries"] for x in before["entries"]) and state.read().count() == 3
 
 
 def test_diverse_subset_takes_every_vector(spark):

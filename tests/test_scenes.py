@@ -45,5 +45,5 @@ def test_reports(spark, tmp_path):
     q = reports.quality(spark, str(tmp_path))
     assert (q["images"], q["objects"], q["missing_labels"], q["empty_labels"], q["duplicates"], q["cross_split_exact"], q["cross_split_embedding"], q["health"]) == (3, 1, 1, 1, 1, 1, 1, "warning")
     assert reports.compare(spark, str(tmp_path), str(tmp_path))["class_distance"] == 0.0
-    assert readers.dataset_kind(spark, str(tmp_path)) == "synthetic"
-    assert "<table>" in writers.report_html("q", q)
+    assert readers.dataset_kind(str(tmp_path)) == "synthetic"
+    assert "<table" in writers.report_html("q", q)
