@@ -1,3 +1,3 @@
-"""annolake: annotation-dataset analytics and training-data preparation on Spark DataFrames."""
+"""Analytics and training-data preparation for annotation datasets on PySpark."""
 
-__version__ = "0.1.0"
+__version__ = "2.0.0"

@@ -35,6 +35,11 @@ def load(path: str, kind: str) -> dict:
     return doc
 
 
+def load_checked(kind: str, doc: dict) -> dict:
+    """A document that was just made, with its kind and version."""
+    return doc | {"schema": kind, "version": VERSIONS[kind]}
+
+
 def save(path: str, kind: str, doc: dict) -> dict:
     """Writes a document with its kind and version."""
     out = doc | {"schema": kind, "version": VERSIONS[kind]}

@@ -30,6 +30,7 @@ def boxes_of(parsed: DataFrame, classes: dict[int, str] | None = None) -> DataFr
     return parsed.filter("is_valid").select(
         "split", "stem", F.lpad(F.col("line_no").cast("string"), 9, "0").alias("ord"), label.alias("label"),
         *(F.when(is_box, at(i)).otherwise(f(a)).alias(n) for i, n, f, a in ((0, "cx", mid, xs), (1, "cy", mid, ys), (2, "w", span, xs), (3, "h", span, ys))),
+        F.when(~is_box, F.transform(xs, lambda x, i: F.struct(x.alias("x"), F.get(ys, i).alias("y")))).alias("points"),
     )
 
 
