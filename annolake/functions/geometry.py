@@ -101,7 +101,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def task_seed(seed: int, index: Column) -> Column:
-    """Seed of one planned sample, 32 bits."""
+    """Seed of one planned sample, 32 bits (M17); the factors are fixed values."""
     return (F.lit(seed * 1000003).cast("bigint") + index * 9176 + 99537187).bitwiseAND(F.lit(0xFFFFFFFF))
 
 

@@ -1,4 +1,5 @@
-"""Pixel operators in NumPy (I1-I7, I9, M8, M9, M12, M14, W8, K3, K6, E1), for Arrow UDFs.
+"""Pixel operators in NumPy (I1, I5, I7, I9, M3, M12, M14, W8, K3, K6, E1), for Arrow UDFs; ``masks`` and
+``recipes`` have the others.
 
 Images are height x width x channel uint8 in BGR order, as Spark's image source gives them. What
 needs an imaging library, network or trained weights (JPEG encoding, EXIF, GrabCut, inpainting,
@@ -66,6 +67,8 @@ def _lab(bgr: np.ndarray) -> np.ndarray:
     return np.stack([lum * 255 / 100, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], -1) / 255
 
 
+# The descriptor's layout (a grid of 4 x 4 cells with means and deviations, the 63 lowest
+# frequencies after the first, 8 directions) and, in ``EFFECTS`` below, what is drawn without settings.
 def appearance(img: np.ndarray) -> np.ndarray:
     """167 numbers: colour moments of a 4 x 4 grid, low frequencies, gradient directions; unit length."""
     if img is None or img.size == 0:
@@ -191,7 +194,7 @@ def oriented_box(points: np.ndarray) -> np.ndarray:
     return np.roll(c, -int(np.lexsort((c[:, 0], c.sum(1)))[0]), 0)
 
 
-def encode_png(img: np.ndarray) -> bytes:
+def encode_png(img: np.ndarray, level: int = 6) -> bytes:
     """Gray, BGR or BGRA pixels (8 or 16 bit gray) as PNG."""
     a = img[..., None] if img.ndim == 2 else img
     a = a[..., [2, 1, 0, 3][: a.shape[2]]] if a.shape[2] >= 3 else a
@@ -200,7 +203,7 @@ def encode_png(img: np.ndarray) -> bytes:
     rows = b"".join(b"\0" + r.tobytes() for r in raw)
     part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
     head = struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 16 if a.dtype == np.uint16 else 8, kind, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows, 6)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows, level)) + part(b"IEND", b"")
 
 
 def encode_jpeg(img: np.ndarray, quality: int = 90) -> bytes:

@@ -237,9 +237,9 @@ def choose_assets(planned: DataFrame, assets: DataFrame) -> DataFrame:
     the seed, so the join has one row on the asset side for each object."""
     from annolake.operators.ranking import running
 
-    per = running(assets, [F.col("asset_id")], [F.floor(F.col("asset_id") / 10_000)], keys=["class_id"], name="n")
+    per = running(assets, [F.col("asset_id")], [F.shiftright("asset_id", 52)], keys=["class_id"], name="n")
     sizes = per.groupBy("class_id").agg(F.count(F.lit(1)).alias("k"))
-    any_ = running(assets, [F.col("asset_id")], [F.floor(F.col("asset_id") / 10_000)], name="n").select("n", F.col("asset_id").alias("any_id"))
+    any_ = running(assets, [F.col("asset_id")], [F.shiftright("asset_id", 52)], name="n").select("n", F.col("asset_id").alias("any_id"))
     total = assets.count()
     p = planned.join(sizes, "class_id", "left").withColumn("h", F.pmod(F.xxhash64("seed", "slot"), F.lit(2**31)))
     p = p.withColumn("n", F.when(F.col("k") > 0, F.pmod("h", F.col("k")))).join(per.select("class_id", "n", "asset_id"), ["class_id", "n"], "left").drop("n", "k")

@@ -414,6 +414,15 @@ def label_first_plan(spark, d):
     return planning.plan(spark, n, 42, c)
 
 
+def rendered_scenes(spark, d):
+    """A picture of 800 x 600 for every supplier, with its objects' boxes."""
+    from annolake.operators import rendering
+
+    n = spark.sparkContext.defaultParallelism
+    r = rendering.render(rendering.synthetic_samples(table(spark, d, "supplier").repartition(n), "s_suppkey"))
+    return r.select("idx", F.size("annotations").alias("n_objects"), "n_lost", F.sha1("png").alias("png"))
+
+
 def pending_tasks(spark, d):
     """Planned tasks whose last state is not the completed one."""
     e = table(spark, d, "events").select(F.col("user_id").alias("idx"), F.col("event_type").alias("status"), "ts", "event_id")
@@ -436,7 +445,7 @@ QUERIES = {
         exact_duplicates, cross_split_exact_leak, phash_bits, phash_band_candidates, cross_split_near_leak, perceptual_diversity, cross_split_embedding_leak, uniqueness_summary, domain_compare, diverse_subset, hard_example_scores,
         hard_example_topk, fn_fp_by_class, source_reuse, source_components, customer_groups, source_aware_split, split_transfer, split_summary, object_count_hints, label_file_kinds, segmentation_label_faults,
         sample_payloads, merged_logs, label_class_map, finalized_log, effect_counts, counter_maps, duplicate_examples, split_leak_sources, merge_dense_ids, shard_by_count, shard_by_bytes, coco_validity,
-        run_state_counts, task_seeds, qa_warnings, visibility_diagnostics, template_constraints, background_cycle, label_first_plan, pending_tasks, coco_subset,
+        run_state_counts, task_seeds, qa_warnings, visibility_diagnostics, template_constraints, background_cycle, label_first_plan, rendered_scenes, pending_tasks, coco_subset,
     )
 }
 

@@ -124,6 +124,12 @@ SELECT kind, n_tokens, CAST(count(*) FILTER (WHERE kind <> 'unreadable') AS BIGI
   k AS (SELECT sum(a.x * b.x) AS ab, sqrt(sum(a.x * a.x)) AS na, sqrt(sum(b.x * b.x)) AS nb FROM c a JOIN c b ON a.i = b.i AND a.real AND NOT b.real)
   SELECT CAST((SELECT count(*) FROM nn) AS BIGINT) AS n, (SELECT round(avg(sim), 6) FROM nn) AS mean_nn, (SELECT round(quantile_cont(sim, 0.1), 6) FROM nn) AS p10_nn, (SELECT round(quantile_cont(sim, 0.9), 6) FROM nn) AS p90_nn,
   (SELECT round(ab / (na * nb), 6) FROM k) AS centroid_cosine""",
+    "diverse_subset": f"""WITH RECURSIVE {_VEC}, n AS (SELECT id, v FROM vec WHERE v IS NOT NULL),
+  m AS (SELECT i, avg(v[i]) AS x FROM n, range(1, 65) t(i) GROUP BY i), c AS (SELECT list(x / ((SELECT sqrt(sum(x * x)) FROM m) + 1e-8) ORDER BY i) AS c FROM m),
+  s AS (SELECT CAST(0 AS INTEGER) AS rank, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[][]) AS vs, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS score
+    UNION ALL SELECT s.rank + 1, list_append(s.ids, b.id), list_append(s.vs, b.v), b.id, b.far FROM s,
+    LATERAL (SELECT n.id, n.v, CASE WHEN s.rank = 0 THEN 1 - list_dot_product(n.v, c.c) ELSE list_min(list_transform(s.vs, lambda w: 1 - list_dot_product(n.v, w))) END AS far FROM n, c WHERE NOT list_contains(s.ids, n.id) ORDER BY far DESC, n.id LIMIT 1) b WHERE s.rank < 20)
+  SELECT rank, id, round(CASE WHEN rank = 1 THEN score ELSE greatest(0.0, score) END, 6) AS score FROM s WHERE rank > 0""",
     "hard_example_scores": _HARD + "SELECT stem, CAST(gt AS INTEGER) AS gt, CAST(pred AS INTEGER) AS pred, CAST(fn AS INTEGER) AS fn, CAST(fp AS INTEGER) AS fp, CAST(low_conf AS INTEGER) AS low_conf, CAST(poor_loc AS INTEGER) AS poor_loc, score FROM sc",
     "hard_example_topk": _HARD + """SELECT stem, score, array_to_string(list_filter([CASE WHEN fn > 0 THEN 'FN:' || fn END, CASE WHEN fp > 0 THEN 'FP:' || fp END, CASE WHEN low_conf > 0 THEN 'low-conf:' || low_conf END, CASE WHEN poor_loc > 0 THEN 'geometry:' || poor_loc END], lambda x: x IS NOT NULL), ',') AS reasons
   FROM sc WHERE score > 0 ORDER BY score DESC, stem LIMIT 50""",
