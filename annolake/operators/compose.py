@@ -12,10 +12,10 @@ from annolake.operators.ranking import dense_ids, running
 
 
 def safe_prefix(name: str, index: int) -> str:
-    """``NN_name`` with other characters than letters, digits, dot and hyphen as underscores."""
+    """``NN_name`` with other characters than letters, digits, underscore and hyphen as underscores."""
     import re
 
-    return f"{index:02d}_" + (re.sub(r"[^A-Za-z0-9._-]+", "_", name).strip("._") or "dataset")
+    return f"{index:02d}_" + (re.sub(r"[^A-Za-z0-9_-]+", "_", name).strip("_") or f"ds{index}")
 
 
 def merge_coco(parts: list[tuple[str, DataFrame, DataFrame, DataFrame]], bucket: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:

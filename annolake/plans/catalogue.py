@@ -12,7 +12,7 @@ from annolake.functions import geometry as g
 from annolake.operators import compose, datasets, hard_examples, labels, lineage, planning, profile, similarity
 from annolake.operators.ranking import running
 from annolake.session import table
-from annolake.sources import writers
+from annolake.sources import readers, writers
 
 SPLIT_ORDER = {"train": 0, "val": 1, "test": 2}
 
@@ -414,6 +414,73 @@ def label_first_plan(spark, d):
     return planning.plan(spark, n, 42, c)
 
 
+def box_validity(spark, d):
+    """Boxes on a canvas of 1000 x 800 that are large and visible enough."""
+    b = v_boxes(spark, d)
+    px_ = [F.rint(c * n).cast("int") for c, n in ((F.col("cx") - F.col("w") / 2, 1000), (F.col("cy") - F.col("h") / 2, 800), (F.col("cx") + F.col("w") / 2, 1000), (F.col("cy") + F.col("h") / 2, 800))]
+    box = F.struct(*(c.alias(n) for c, n in zip(px_, ("x1", "y1", "x2", "y2"), strict=True)))
+    ok = g.is_valid_box(F.col("b"), F.lit(1000), F.lit(800), 0.9, 60)
+    return b.select("label", box.alias("b")).groupBy("label", ok.alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def polygon_measures(spark, d):
+    """Area, box and centre of triangles over half of each box."""
+    c = g.corners(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"))
+    pts = F.array(*(F.struct(c[x].alias("x"), c[y].alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x1", "y2"))))
+    b = v_boxes(spark, d).select("label", pts.alias("p")).select("label", g.polygon_area(F.col("p")).alias("a"), g.polygon_bbox(F.col("p")).alias("b"))
+    return b.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("a", 9)), 4).alias("area"), F.round(F.avg((F.col("b.x1") + F.col("b.x2")) / 2), 6).alias("cx"), F.round(F.avg(F.col("b.y2") - F.col("b.y1")), 6).alias("h"))
+
+
+def label_text(spark, d):
+    """Boxes as label lines and as clipped polygon lines (K1, K2)."""
+    b = v_boxes(spark, d)
+    c = g.corners(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"))
+    pts = F.array(*(F.struct(c[x].alias("x"), c[y].alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
+    cls, cut = F.ascii("label"), lambda v: F.floor(v * 10000) / 10000
+    return b.select("stem", "ord", writers.detect_line(cls, *(cut(F.col(k)) for k in ("cx", "cy", "w", "h"))).alias("line"), writers.polygon_line(cls, F.transform(pts, lambda p: F.struct(cut(p["x"]).alias("x"), cut(p["y"]).alias("y")))).alias("polygon"))
+
+
+def source_keys(spark, d):
+    """Portable identities of sources."""
+    i = table(spark, d, "images").select(lineage.source_key(F.col("path"), F.col("plan_idx")).alias("key"))
+    return i.groupBy(F.coalesce("key", F.lit("")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def zone_labels(spark, d):
+    """The class that labels of regions stand for."""
+    n = table(spark, d, "nation").select(F.col("n_name").alias("n"))
+    each = F.explode(F.array(*(F.concat(F.lit(p), F.col("n")) for p in ("Zone: ", "paste_zone:", "地面:", "tree:", "ROAD:a:")), F.lit(" Ground "), F.lit("zone"), F.lit("可粘贴区域")))
+    return n.select(each.alias("label")).select("label", readers.zone_class(F.col("label")).alias("zone")).groupBy("label", "zone").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prediction_confidences(spark, d):
+    """Predictions of the three tasks with the confidence they carry."""
+    out = None
+    for task, kind in (("detect", "predictions"), ("obb", "predictions-obb"), ("seg", "predictions-seg")):
+        p = hard_examples.prediction_shapes(_lines(spark, d, kind), task)
+        row = p.select(F.lit(task).alias("task"), F.size("vals").alias("n_values"), "conf")
+        out = row if out is None else out.unionByName(row)
+    fine = F.when(F.abs("conf") < 1e6, F.round("conf", 6))
+    return out.groupBy("task", "n_values").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(fine), 4).alias("conf"))
+
+
+def slot_relations(spark, d):
+    """How many pairs of boxes of an image stand in each relation."""
+    b = v_boxes(spark, d).groupBy("stem", "label").agg(F.min(F.struct("ord", "cx", "cy")).alias("s"))
+    one = lambda k: b.filter(F.col("label") == k).select("stem", F.col("s.cx").alias(f"{k}x"), F.col("s.cy").alias(f"{k}y"))
+    j = one("A").join(one("N"), "stem")
+    far = F.round(g.distance(F.col("Ax"), F.col("Ay"), F.col("Nx"), F.col("Ny")), 9)
+    holds = {"left_of": F.col("Ax") < F.col("Nx"), "right_of": F.col("Ax") > F.col("Nx"), "above": F.col("Ay") < F.col("Ny"), "below": F.col("Ay") > F.col("Ny"), "min_distance": far >= 0.3, "max_distance": far <= 0.3}
+    return j.agg(*(F.count_if(c).alias(k) for k, c in holds.items()), F.round(F.avg(g.perspective_height(F.col("Ay"), 0.35, 0.95, 0.08, 0.32)), 6).alias("mean_height"))
+
+
+def class_names(spark, d):
+    """Boxes by the name of their class, unknown classes by their number."""
+    a = table(spark, d, "coco_annotations").dropDuplicates(["id"])
+    c = table(spark, d, "coco_categories").groupBy(F.col("id").alias("category_id")).agg(F.max("name").alias("name"))
+    return a.join(F.broadcast(c), "category_id", "left").groupBy(F.coalesce("name", F.col("category_id").cast("string"), F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def rendered_scenes(spark, d):
     """A picture of 800 x 600 for every supplier, with its objects' boxes."""
     from annolake.operators import rendering
@@ -445,7 +512,7 @@ QUERIES = {
         exact_duplicates, cross_split_exact_leak, phash_bits, phash_band_candidates, cross_split_near_leak, perceptual_diversity, cross_split_embedding_leak, uniqueness_summary, domain_compare, diverse_subset, hard_example_scores,
         hard_example_topk, fn_fp_by_class, source_reuse, source_components, customer_groups, source_aware_split, split_transfer, split_summary, object_count_hints, label_file_kinds, segmentation_label_faults,
         sample_payloads, merged_logs, label_class_map, finalized_log, effect_counts, counter_maps, duplicate_examples, split_leak_sources, merge_dense_ids, shard_by_count, shard_by_bytes, coco_validity,
-        run_state_counts, task_seeds, qa_warnings, visibility_diagnostics, template_constraints, background_cycle, label_first_plan, rendered_scenes, pending_tasks, coco_subset,
+        run_state_counts, task_seeds, qa_warnings, visibility_diagnostics, template_constraints, background_cycle, label_first_plan, box_validity, polygon_measures, label_text, source_keys, zone_labels, prediction_confidences, slot_relations, class_names, rendered_scenes, pending_tasks, coco_subset,
     )
 }
 

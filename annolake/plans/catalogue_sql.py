@@ -175,6 +175,26 @@ SELECT n.category_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(image_id) AS BIGIN
     "background_cycle": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM (SELECT DISTINCT o_orderkey FROM orders)), k AS (SELECT count(DISTINCT s_suppkey) AS n FROM supplier),
   c AS (SELECT DISTINCT idx // n AS cycle FROM o, k), p AS (SELECT cycle, s_suppkey, row_number() OVER (PARTITION BY cycle ORDER BY sha256('42:' || cycle || ':' || s_suppkey), s_suppkey) - 1 AS slot FROM c CROSS JOIN (SELECT DISTINCT s_suppkey FROM supplier))
   SELECT o.o_orderkey, CAST(o.idx // n AS BIGINT) AS cycle, CAST(o.idx % n AS BIGINT) AS slot, p.s_suppkey FROM o, k JOIN p ON p.cycle = o.idx // n AND p.slot = o.idx % n""",
+    "box_validity": f"""WITH {_BOX}, p AS (SELECT label, round_even((cx - w / 2) * 1000, 0) AS x1, round_even((cy - h / 2) * 800, 0) AS y1, round_even((cx + w / 2) * 1000, 0) AS x2, round_even((cy + h / 2) * 800, 0) AS y2 FROM box),
+  c AS (SELECT *, greatest(0, least(x1, 1000)) AS a1, greatest(0, least(y1, 800)) AS b1, greatest(0, least(x2, 1000)) AS a2, greatest(0, least(y2, 800)) AS b2 FROM p)
+  SELECT label, a2 - a1 >= 60 AND b2 - b1 >= 30 AND CASE WHEN (x2 - x1) * (y2 - y1) > 0 THEN greatest(0, a2 - a1) * greatest(0, b2 - b1) / (greatest(0, x2 - x1) * greatest(0, y2 - y1)) ELSE 0 END >= 0.9::DOUBLE AS valid, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY ALL""",
+    "polygon_measures": f"WITH {_BOX} SELECT label, CAST(count(*) AS BIGINT) AS n, round(sum(round(w * h / 2, 9)), 4) AS area, round(avg(cx), 6) AS cx, round(avg(h), 6) AS h FROM box GROUP BY label",
+    "label_text": f"""WITH {_BOX}, r AS (SELECT *, [floor((cx - w / 2) * 10000) / 10000, floor((cy - h / 2) * 10000) / 10000, floor((cx + w / 2) * 10000) / 10000, floor((cy - h / 2) * 10000) / 10000, floor((cx + w / 2) * 10000) / 10000, floor((cy + h / 2) * 10000) / 10000, floor((cx - w / 2) * 10000) / 10000, floor((cy + h / 2) * 10000) / 10000] AS p FROM box)
+  SELECT stem, ord, printf('%d %.6f %.6f %.6f %.6f', ascii(label), floor((cx) * 10000) / 10000, floor((cy) * 10000) / 10000, floor((w) * 10000) / 10000, floor((h) * 10000) / 10000) AS line, ascii(label) || ' ' || array_to_string(list_transform(p, lambda x: printf('%.6f', greatest(0.0::DOUBLE, least(1.0::DOUBLE, x)))), ' ') AS polygon FROM r""",
+    "source_keys": r"""SELECT CASE WHEN trim(coalesce(path, '')) <> '' THEN regexp_extract(path, '([^/\\]+)$', 1) || '#' || coalesce(CAST(plan_idx AS VARCHAR), '0') ELSE '' END AS key, CAST(count(*) AS BIGINT) AS n FROM images GROUP BY 1""",
+    "zone_labels": """WITH l AS (SELECT unnest(['Zone: ' || n_name, 'paste_zone:' || n_name, '地面:' || n_name, 'tree:' || n_name, 'ROAD:a:' || n_name, ' Ground ', 'zone', '可粘贴区域']) AS label FROM nation)
+  SELECT label, CASE WHEN label LIKE 'Zone:%' OR label LIKE 'paste_zone:%' OR label LIKE '地面:%' THEN trim(substr(label, instr(label, ':') + 1)) WHEN label LIKE 'ROAD:%' THEN trim(substr(label, 6)) WHEN label IN (' Ground ', '可粘贴区域') THEN '' END AS zone, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY ALL""",
+    "prediction_confidences": """WITH l AS (SELECT DISTINCT line_id, file_kind, raw_line FROM label_lines WHERE file_kind LIKE 'predictions%' AND raw_line IS NOT NULL),
+  t AS (SELECT CASE file_kind WHEN 'predictions' THEN 'detect' WHEN 'predictions-obb' THEN 'obb' ELSE 'seg' END AS task, regexp_extract_all(raw_line, '[^ \t\r\n]+') AS tk FROM l),
+  n AS (SELECT task, list_transform(tk, lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM t WHERE len(tk) > 0 AND len(list_filter(tk, lambda x: TRY_CAST(x AS DOUBLE) IS NULL OR isnan(TRY_CAST(x AS DOUBLE)))) = 0),
+  c AS (SELECT task, len(v) - 1 AS k, v, CASE task WHEN 'detect' THEN 4 WHEN 'obb' THEN 8 END AS f FROM n),
+  r AS (SELECT task, CASE WHEN f IS NOT NULL THEN f WHEN k >= 7 AND k % 2 = 1 THEN k - 1 ELSE k END AS m, CASE WHEN f IS NOT NULL THEN CASE WHEN k > f THEN v[f + 2] ELSE 1.0 END WHEN k >= 7 AND k % 2 = 1 THEN v[len(v)] ELSE 1.0 END AS conf FROM c WHERE k >= coalesce(f, 0))
+  SELECT task, CAST(m AS INTEGER) AS n_values, CAST(count(*) AS BIGINT) AS n, round(sum(CASE WHEN abs(conf) < 1e6 THEN round(conf, 6) END), 4) AS conf FROM r WHERE task <> 'seg' OR (m >= 6 AND m % 2 = 0) GROUP BY ALL""",
+    "slot_relations": f"""WITH {_BOX}, f AS (SELECT stem, label, arg_min(cx, ord) AS cx, arg_min(cy, ord) AS cy FROM box GROUP BY ALL), j AS (SELECT a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS b_y, round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 9) AS d FROM f a JOIN f b ON a.stem = b.stem AND a.label = 'A' AND b.label = 'N')
+  SELECT CAST(count(*) FILTER (WHERE ax < bx) AS BIGINT) AS left_of, CAST(count(*) FILTER (WHERE ax > bx) AS BIGINT) AS right_of, CAST(count(*) FILTER (WHERE ay < b_y) AS BIGINT) AS above, CAST(count(*) FILTER (WHERE ay > b_y) AS BIGINT) AS below,
+    CAST(count(*) FILTER (WHERE d >= 0.3) AS BIGINT) AS min_distance, CAST(count(*) FILTER (WHERE d <= 0.3) AS BIGINT) AS max_distance, round(avg(0.08::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ay - 0.35::DOUBLE) / 0.6::DOUBLE)) * 0.24::DOUBLE), 6) AS mean_height FROM j""",
+    "class_names": """WITH a AS (SELECT id, any_value(category_id) AS category_id FROM coco_annotations GROUP BY id), c AS (SELECT id, max(name) AS name FROM coco_categories GROUP BY id)
+  SELECT coalesce(c.name, CAST(a.category_id AS VARCHAR), 'none') AS label, CAST(count(*) AS BIGINT) AS n FROM a LEFT JOIN c ON c.id = a.category_id GROUP BY 1""",
     "object_count_hints": """WITH f AS (SELECT 'p' || idx AS stem, max(n_objects) AS n FROM sample_plans WHERE idx IS NOT NULL AND n_objects IS NOT NULL GROUP BY 1),
   t AS (SELECT stem, count(*) FILTER (WHERE trim(replace(coalesce(raw_line, ''), chr(9), ' '), ' ' || chr(10) || chr(13)) <> '') AS n FROM (SELECT DISTINCT line_id, stem, raw_line FROM label_lines WHERE stem IS NOT NULL) GROUP BY stem),
   i AS (SELECT id, min(stem) AS stem FROM coco_images WHERE stem IS NOT NULL GROUP BY id), c AS (SELECT i.stem, count(a.id) AS n FROM i LEFT JOIN (SELECT DISTINCT id, image_id FROM coco_annotations) a ON a.image_id = i.id GROUP BY i.stem),
