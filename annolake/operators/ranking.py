@@ -1,26 +1,51 @@
 """Global positions and running sums without one global sort: a monotone bucket of the order key
-gets its offset from the (few) bucket totals, rows get their place inside their bucket."""
+gets its offset from the bucket totals, rows get their place inside their bucket. The totals' own sums are
+made in two levels, within coarse buckets and over these, so that no window holds all buckets.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+FINE = 1024  # buckets of numbers in a coarse one
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Equal in all columns, nulls among them."""
+    return reduce(lambda x, y: x & y, (left[c].eqNullSafe(right[f"_r{c}"]) for c in columns), F.lit(True))
+
+
+def _offsets(totals: DataFrame, keys: list[str], b: list[str]) -> DataFrame:
+    """Adds ``_off``: the totals of the buckets before, within the keys."""
+    kind = totals.schema[b[0]].dataType
+    coarse = F.col(b[0]) if len(b) > 1 or not isinstance(kind, NumericType) else F.floor(F.col(b[0]) / FINE)
+    t = totals.withColumn("_c", coarse)
+    sums = t.groupBy(*keys, "_c").agg(F.sum("_t").alias("_ct"))
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    sums = sums.withColumn("_before", F.sum("_ct").over(over.orderBy("_c")) - F.col("_ct")).drop("_ct")
+    sums = sums.withColumnsRenamed({c: f"_r{c}" for c in [*keys, "_c"]})
+    own = F.sum("_t").over(Window.partitionBy(*keys, "_c").orderBy(*b)) - F.col("_t")
+    t = t.withColumn("_own", own)
+    return t.join(sums, _same(t, sums, [*keys, "_c"])).select(*keys, *b, (F.col("_own") + F.col("_before")).alias("_off"))
 
 
 def running(df: DataFrame, order: list, bucket: list[Column], value: Column | None = None, keys: list[str] | None = None, name: str = "before") -> DataFrame:
     """Adds ``name``: the sum of ``value`` (count if None) over the rows before this one in
-    ``order`` within ``keys``. ``bucket`` must be monotone in the order."""
+    ``order`` within ``keys``. ``bucket`` must be monotone in the order; nulls come first in both."""
     keys = keys or []
     b = [f"_b{i}" for i in range(len(bucket))]
     v = value if value is not None else F.lit(1)
     d = df.withColumns(dict(zip(b, bucket, strict=True))).withColumn("_v", v.cast("bigint"))
     totals = d.groupBy(*keys, *b).agg(F.sum("_v").alias("_t"))
-    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    offsets = totals.withColumn("_off", F.sum("_t").over(over.orderBy(*b)) - F.col("_t")).drop("_t")
+    offsets = _offsets(totals, keys, b).withColumnsRenamed({c: f"_r{c}" for c in [*keys, *b]})
     own = Window.partitionBy(*keys, *b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    j = d.withColumn("_own", F.coalesce(F.sum("_v").over(own), F.lit(0)))
-    cond = [c for c in (*keys, *b)]
-    return j.join(offsets, cond).withColumn(name, F.col("_own") + F.col("_off")).drop(*b, "_v", "_own", "_off")
+    j = d.withColumn("_place", F.coalesce(F.sum("_v").over(own), F.lit(0)))
+    out = j.join(offsets, _same(j, offsets, [*keys, *b])).withColumn(name, F.col("_place") + F.col("_off"))
+    return out.drop(*b, *(f"_r{c}" for c in [*keys, *b]), "_v", "_place", "_off")
 
 
 def dense_ids(df: DataFrame, order: list, bucket: list[Column], name: str = "new_id") -> DataFrame:
