@@ -215,6 +215,8 @@ def reject_over_history(images: DataFrame, index_path: str | None = None) -> Dat
         index.prepare(keys, batches)
     for b in batches:
         index.accept_whole(b) if b == 0 else index.admit(b)
+        # a settled batch's plans and generated classes are garbage: a small driver stays small
+        spark.sparkContext._jvm.System.gc()
     accepted = index._read("accepted", "ord bigint, batch int").filter(F.col("batch").isin(batches))
     rows = keys.filter((F.col("batch") != 0) & (F.col("sha1").isNotNull() | F.col("cid").isNotNull()))
     # a record stands for its node: the node's first record is accepted or nothing of it is
