@@ -65,19 +65,20 @@ def hard_case(source: str | dict | None) -> dict | None:
 
 def background_cycle(samples: DataFrame, backgrounds: DataFrame, name: str, seed: int) -> DataFrame:
     """Adds cycle, slot and a background to samples numbered by ``idx`` (W9): every background once a
-    cycle, in the order of a hash of seed, cycle and background. The order of a cycle is made from
-    counts by the hash's first letters, the table of orders has one row a sample."""
+    cycle, in the order of a hash of seed, cycle and background; a null is no background. The order of a
+    cycle is made from counts by the hash's first byte, the table of orders has one row a sample. It is a
+    cross join, not an explode, whose rows Spark takes for as few and as small as the backgrounds."""
     from annolake.operators.ranking import running
 
-    own = backgrounds.select(name).distinct()
+    own = backgrounds.select(name).dropna().distinct()
     n = own.count()
     s = samples.withColumn("cycle", F.floor(F.col("idx") / max(1, n)).cast("bigint")).withColumn("slot", F.pmod("idx", F.lit(max(1, n))).cast("bigint"))
-    last = s.agg(F.coalesce(F.max("cycle"), F.lit(-1))).first()[0]
-    cycles = samples.sparkSession.range(last + 1).select(F.explode(F.array("id")).alias("cycle"))
-    each = own.withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, last)).cast("bigint")))) if last >= 0 else own.join(cycles.limit(0))
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    each = s.select(F.coalesce("cycle", F.lit(0)).alias("cycle")).distinct().repartition(cores).crossJoin(own.repartition(cores))
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("cycle").cast("string"), F.lit(":"), F.col(name).cast("string")), 256)
-    order = running(each.withColumn("_h", h), [F.col("_h"), F.col(name)], [F.substring("_h", 1, 2)], keys=["cycle"], name="slot").select("cycle", F.col("slot").cast("bigint").alias("slot"), name)
-    return s.join(order, ["cycle", "slot"])
+    byte = F.coalesce(F.conv(F.substring(h, 1, 2), 16, 10).cast("int"), F.lit(0))
+    order = running(each, [h, F.col(name)], [byte], keys=["cycle"], name="_slot", late=True).select((F.col("cycle") * n + F.col("_slot")).alias("idx"), name)
+    return s.join(order, "idx").select("cycle", "slot", *(c for c in samples.columns if c not in ("cycle", "slot")), name)
 
 
 @dataclass(frozen=True)

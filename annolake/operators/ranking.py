@@ -15,8 +15,11 @@ FINE = 1024  # buckets of numbers in a coarse one
 
 
 def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Equal in all columns, nulls among them."""
-    return reduce(lambda x, y: x & y, (left[c].eqNullSafe(right[f"_r{c}"]) for c in columns), F.lit(True))
+    """Equal in all columns, nulls among them. Columns without nulls are compared plainly: rows placed by
+    them are then not shuffled again."""
+    nulls = {f.name for d in (left, right) for f in d.schema if f.nullable}
+    each = (left[c].eqNullSafe(right[f"_r{c}"]) if nulls & {c, f"_r{c}"} else left[c] == right[f"_r{c}"] for c in columns)
+    return reduce(lambda x, y: x & y, each, F.lit(True))
 
 
 def _offsets(totals: DataFrame, keys: list[str], b: list[str]) -> DataFrame:
@@ -33,18 +36,20 @@ def _offsets(totals: DataFrame, keys: list[str], b: list[str]) -> DataFrame:
     return t.join(sums, _same(t, sums, [*keys, "_c"])).select(*keys, *b, (F.col("_own") + F.col("_before")).alias("_off"))
 
 
-def running(df: DataFrame, order: list, bucket: list[Column], value: Column | None = None, keys: list[str] | None = None, name: str = "before") -> DataFrame:
+def running(df: DataFrame, order: list, bucket: list[Column], value: Column | None = None, keys: list[str] | None = None, name: str = "before", late: bool = False) -> DataFrame:
     """Adds ``name``: the sum of ``value`` (count if None) over the rows before this one in
-    ``order`` within ``keys``. ``bucket`` must be monotone in the order; nulls come first in both."""
+    ``order`` within ``keys``. ``bucket`` must be monotone in the order; nulls come first in both.
+    ``late``: what the order computes is computed after the shuffle, not carried through it."""
     keys = keys or []
     b = [f"_b{i}" for i in range(len(bucket))]
-    v = value if value is not None else F.lit(1)
-    d = df.withColumns(dict(zip(b, bucket, strict=True))).withColumn("_v", v.cast("bigint"))
-    totals = d.groupBy(*keys, *b).agg(F.sum("_v").alias("_t"))
+    v = (value if value is not None else F.lit(1)).cast("bigint")
+    d = df.withColumns(dict(zip(b, bucket, strict=True)))
+    totals = d.withColumn("_v", v).groupBy(*keys, *b).agg(F.coalesce(F.sum("_v"), F.lit(0)).alias("_t"))
     offsets = _offsets(totals, keys, b).withColumnsRenamed({c: f"_r{c}" for c in [*keys, *b]})
     own = Window.partitionBy(*keys, *b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    j = d.withColumn("_place", F.coalesce(F.sum("_v").over(own), F.lit(0)))
-    out = j.join(offsets, _same(j, offsets, [*keys, *b])).withColumn(name, F.col("_place") + F.col("_off"))
+    j = (d.repartition(*keys, *b) if late else d).withColumn("_v", v).withColumn("_place", F.coalesce(F.sum("_v").over(own), F.lit(0)))
+    # every row has an offset: the left join is there since it never broadcasts the rows, coalesce since else it becomes an inner one
+    out = j.join(offsets, _same(j, offsets, [*keys, *b]), "left").withColumn(name, F.col("_place") + F.coalesce("_off", F.lit(0)))
     return out.drop(*b, *(f"_r{c}" for c in [*keys, *b]), "_v", "_place", "_off")
 
 

@@ -403,7 +403,8 @@ def template_constraints(spark, d):
 def background_cycle(spark, d):
     """Balanced background plan: every background once a cycle, in an order of the cycle's own."""
     samples = table(spark, d, "orders").select("o_orderkey").distinct()
-    o = running(samples, [F.col("o_orderkey")], [F.floor(F.col("o_orderkey") / 1000)], name="idx")
+    first = F.lit(-(2**63))  # the bucket of null, so that no bucket is null
+    o = running(samples, [F.col("o_orderkey")], [F.coalesce(F.floor(F.col("o_orderkey") / 1000), first)], name="idx")
     return planning.background_cycle(o, table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 42).select("o_orderkey", "cycle", "slot", "s_suppkey")
 
 

@@ -51,6 +51,34 @@ def test_running_positions(spark):
         assert [b for _, b in own] == list(range(len(own)))
 
 
+def test_running_broadcasts_no_rows(spark):
+    import hashlib
+
+    d = spark.range(3).select("id", F.explode(F.sequence(F.lit(0), F.lit(299))).alias("x")).withColumn("v", F.when(F.col("x") >= 100, F.col("x")))
+    for late in (False, True):
+        r = ranking.running(d, [F.sha2(F.col("x").cast("string"), 256)], [F.substring(F.sha2(F.col("x").cast("string"), 256), 1, 1)], value=F.col("v"), keys=["id"], late=late)
+        assert "BuildLeft" not in r._jdf.queryExecution().executedPlan().toString()
+        rows, total = r.collect(), 0
+        at = {(x["id"], x["x"]): x["before"] for x in rows}
+        assert len(at) == len(rows) == 900
+        for x in sorted(range(300), key=lambda x: hashlib.sha256(str(x).encode()).hexdigest()):
+            assert {at[k, x] for k in range(3)} == {total}
+            total += x if x >= 100 else 0
+
+
+def test_background_cycle(spark):
+    import hashlib
+
+    samples = spark.range(2000).select((F.col("id") * 3).alias("s"), F.col("id").alias("idx"))
+    backgrounds = spark.range(40).select(F.when(F.col("id") < 37, F.pmod("id", F.lit(30))).alias("b"))  # seven twice, a null
+    r = planning.background_cycle(samples, backgrounds, "b", 7)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "_rcycle" in x and "BuildLeft" in x]
+    order = [sorted(range(30), key=lambda b: hashlib.sha256(f"7:{c}:{b}".encode()).hexdigest()) for c in range(67)]
+    assert sorted((x["s"], x["cycle"], x["slot"], x["b"]) for x in r.collect()) == [(3 * i, i // 30, i % 30, order[i // 30][i % 30]) for i in range(2000)]
+    assert not planning.background_cycle(samples.limit(0), backgrounds, "b", 7).collect() and not planning.background_cycle(samples, backgrounds.limit(0), "b", 7).collect()
+
+
 def test_label_lines_and_boxes(spark):
     lines = ["0 0.5 0.5 0.2 0.2", "1.9 0.1 0.1 0.1 0.1", "0 0.5 0.5 0 0.2", "0 0 0 1 0 1 1 0 1", "0 0 0 1 0 1 1", "0 0.1", "a b c d e", "0 nan 0.5 0.1 0.1", "", None]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no int, line string")
